@@ -4,13 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from echofold.llm import mixing
+from echofold.llm import line_templates, mixing, quality_rules
 from echofold.llm.common import table
 
 
+def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.report(table(spark, sf_dir, "documents"))
+
+
+def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents"))
+
+
 def op10_mix_weighted_fair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_mix_weighted_fair": op10_mix_weighted_fair}
-SQL = {"op10_mix_weighted_fair": mixing.SQL}
+QUERIES = {
+    "op2_line_templates": op2_line_templates,
+    "op8_line_frequency": op8_line_frequency,
+    "op10_mix_weighted_fair": op10_mix_weighted_fair,
+}
+SQL = {
+    "op2_line_templates": line_templates.SQL,
+    "op8_line_frequency": quality_rules.SQL,
+    "op10_mix_weighted_fair": mixing.SQL,
+}
