@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 #: White space is exactly space, tab, \n, \v, \f and \r, so Java, RE2 and Python agree.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+SOLID = r"[^\x20\x09-\x0D]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

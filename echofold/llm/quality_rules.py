@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echofold.llm.common import SPACE, n_words, words
+from echofold.llm.common import SOLID, SPACE, n_words, words
 
 MIN_WORDS, MAX_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
@@ -35,12 +35,17 @@ def bound(value: Column, body) -> Column:
 
 def line_list(text: Column) -> Column:
     """The \\n-split lines that hold a word."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.translate(x, BLANKS, "") != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(SOLID))
+
+
+def flat_blanks(line: Column) -> Column:
+    """White space runs as one space, none at the ends; lines that are so already are not rewritten."""
+    return F.when(line.rlike(r"[\x09-\x0D]|  |^ | $"), F.trim(F.regexp_replace(line, SPACE + "+", " "))).otherwise(line)
 
 
 def normal(line: Column) -> Column:
     """Lower case, white space runs as one space, none at the ends."""
-    return F.lower(F.trim(F.regexp_replace(line, SPACE + "+", " ")))
+    return F.lower(flat_blanks(line))
 
 
 def repeated_words(w: Column) -> Column:

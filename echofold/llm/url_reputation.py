@@ -29,6 +29,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from echofold.llm.common import stored
+
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 TWO_LABEL = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in")
 MIN_GOOD, Z = 0.7, 1.645
@@ -55,7 +57,7 @@ def levels(host: Column) -> tuple[Column, Column]:
     last = F.substring_index(host, ".", -1)
     two = F.substring_index(host, ".", -2)
     suffix = F.when(two.isin(*TWO_LABEL), two).otherwise(last)
-    return F.when(suffix == two, F.substring_index(host, ".", -3)).otherwise(two), suffix
+    return F.when(two.isin(*TWO_LABEL), F.substring_index(host, ".", -3)).otherwise(two), suffix
 
 
 def article_text(html: Column) -> Column:
@@ -142,3 +144,73 @@ def labelled_pages(pages: DataFrame, documents: DataFrame, labels: DataFrame) ->
     mine = pages.select(host.alias("host"), F.md5(article_text(F.col("html"))).alias("page_md5"))
     known = outcomes_by_text(documents, labels)
     return mine.join(known, F.col("page_md5") == F.col("text_md5")).select("host", "good")
+
+
+def from_tables(pages: DataFrame, documents: DataFrame, labels: DataFrame, min_good: float = MIN_GOOD) -> DataFrame:
+    """The query: outcomes from the labelled texts, then every page judged."""
+    return judged(pages, stored(labelled_pages(pages, documents, labels), "page-outcomes"), min_good)
+
+
+SQL = r"""
+WITH u AS (
+  SELECT page_id, html, coalesce(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '') AS rest FROM pages
+), p AS (
+  SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM u
+), body AS (
+  SELECT page_id, host, regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '(?s)<h1>.*?</h1>', '', 'g'), '<p>', chr(10), 'g'), '<[^>]+>', '', 'g')[2:] AS t FROM p
+), article AS (
+  SELECT page_id, host, md5(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&#39;', chr(39)), '&amp;', '&')) AS m FROM body
+), texts AS (
+  SELECT md5(text) AS m, 2 * sum(quality) >= count(*) AS good
+  FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL AND quality IS NOT NULL GROUP BY 1
+), named AS (
+  SELECT page_id, host, path, array_to_string(string_split(host, '.')[-2:], '.') AS two, string_split(host, '.')[-1] AS last,
+         array_to_string(string_split(host, '.')[-3:], '.') AS three
+  FROM p
+), lev AS (
+  SELECT page_id, host, path,
+         CASE WHEN two IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.in') THEN two ELSE last END AS suffix,
+         CASE WHEN two IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.in') THEN three ELSE two END AS domain
+  FROM named
+), hosts AS (
+  SELECT l.host, l.domain, l.suffix, count(*) AS n, sum(CAST(good AS BIGINT)) AS k
+  FROM article a JOIN texts USING (m) JOIN lev l ON a.page_id IS NOT DISTINCT FROM l.page_id GROUP BY ALL
+), domains AS (
+  SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL
+), suffixes AS (
+  SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY ALL
+), total AS (
+  SELECT coalesce(CAST(sum(k) AS DOUBLE) / sum(n), 1.0) AS rate FROM suffixes
+), moments AS (
+  SELECT what, CAST(sum(k) AS DOUBLE) / sum(n) AS q, sum(CAST(k AS DOUBLE) * k / n) - CAST(sum(k) AS DOUBLE) * sum(k) / sum(n) AS spread,
+         CAST(sum(n) AS DOUBLE) - sum(CAST(n AS DOUBLE) * n) / sum(n) - (count(*) - 1) AS size, count(*) AS c
+  FROM (SELECT 'host' AS what, n, k FROM hosts UNION ALL SELECT 'domain', n, k FROM domains UNION ALL SELECT 'suffix', n, k FROM suffixes) GROUP BY what
+), strengths AS (
+  SELECT what, 1 / (CASE WHEN q <= 0 OR q >= 1 OR size <= 0 THEN 0.01 ELSE least(0.9, greatest(0.01, (spread / (q * (1 - q)) - (c - 1)) / size)) END) - 1 AS m FROM moments
+), m AS (
+  SELECT coalesce(max(m) FILTER (what = 'host'), 99.0) AS mh, coalesce(max(m) FILTER (what = 'domain'), 99.0) AS md, coalesce(max(m) FILTER (what = 'suffix'), 99.0) AS ms FROM strengths
+), s AS (
+  SELECT suffix, (k + ms * rate) / (n + ms) AS mean FROM suffixes, m, total
+), d AS (
+  SELECT domain, suffix, (k + md * s.mean) / (n + md) AS mean FROM domains JOIN s USING (suffix), m
+), h AS (
+  SELECT host, n, (k + mh * d.mean) / (n + mh) AS mean FROM hosts JOIN d USING (domain, suffix), m
+), bounds AS (
+  SELECT l.page_id, l.host, l.path,
+         coalesce(h.mean, d.mean, s.mean, rate) AS mean, CASE WHEN h.host IS NULL THEN 0 ELSE h.n END + mh AS w
+  FROM lev l LEFT JOIN h ON l.host = h.host LEFT JOIN d ON l.domain = d.domain LEFT JOIN s ON l.suffix = s.suffix, m, total
+), judged AS (
+  SELECT page_id, host, path, round(mean + 1.645 * sqrt(mean * (1 - mean) / (w + 1)), 6) AS upper,
+         CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+              WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+              WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+              WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+              WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM bounds
+)
+SELECT page_id, host, path, rule, upper,
+       CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN upper < 0.7 THEN 'block' ELSE 'allow' END AS verdict
+FROM judged
+"""
