@@ -4,15 +4,16 @@ Every line with a word is normalised (lower case, single blanks) and its variabl
 with a digit, become `<*>`. The tree has a fixed depth: first the number of tokens, then the first
 `depth` tokens. Within a leaf that many documents share, a token is constant if that token stands at
 that place in `min_docs` (text, line) pairs; every other place is a variable field too. The line's
-template is what is constant; a template recurs if `min_docs` (text, line) pairs have it and at least
+template is what is constant (kept as the xor of the hashes of its leaf, places and tokens); a template recurs if `min_docs` (text, line) pairs have it and at least
 `fixed` of its tokens are constant. Lines of recurring templates are dropped from every document but the
 one with the lowest id, so nothing disappears from the corpus as a whole. Texts are counted, not ids:
 exact copies are one text and left to document de-duplication. Lines of fewer than `min_tokens` tokens
 say too little to be boilerplate and stay.
 
-Scale: what is shuffled is one short row per line; tokens are exploded only for distinct lines of leaves
-that reach `min_docs`, already counted, so a hot leaf costs its distinct lines. The text moves once, when
-the dropped places come back to it. No step collects a group.
+Scale: what is shuffled is one row of hashes per line; words are exploded only for distinct lines of
+leaves that reach `min_docs`, already counted, so a hot leaf costs its distinct lines. The text moves
+once, when the dropped places come back to it. The one broadcast has at most `BUCKETS` small rows,
+whatever the input. No step collects a group.
 
 Edge cases: null and blank texts have no lines and are left as they are; blank lines stay in place; a
 null id sorts last when the keeper is chosen; repeated rows of one id and text get the same places
@@ -24,49 +25,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echofold.llm.common import SPACE, stored
-from echofold.llm.quality_rules import BLANKS, bound
+from echofold.llm.common import SOLID, stored
+from echofold.llm.quality_rules import bound, normal
 
 MIN_DOCS, DEPTH, FIXED, MIN_TOKENS = 10, 4, 0.6, 3
+BUCKETS = 1 << 18
 _LAST = 2**63 - 1
 
 
-def masked(line: Column) -> Column:
-    """The normalised line with variable fields as `<*>`."""
-    flat = F.lower(F.trim(F.regexp_replace(line, SPACE + "+", " ")))
-    return F.regexp_replace(flat, "[^ ]*[0-9][^ ]*", "<*>")
+def masked(flat: Column) -> Column:
+    """A normalised line with its variable fields as `<*>`; lines without a digit are not rewritten."""
+    return F.when(flat.rlike("[0-9]"), F.regexp_replace(flat, "(^| )[^ 0-9]*+[0-9][^ ]*", "$1<*>")).otherwise(flat)
 
 
-def recurring_lines(lines: DataFrame, min_docs: int, depth: int, fixed: float, min_tokens: int) -> DataFrame:
-    """(id, text_hash, line) -> (line, keeper) of the masked lines whose template recurs."""
+def line_rows(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
+    """(id, text_hash, place, masked, n, line, leaf): one row per line with a word; line and leaf are hashes."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("place", "raw"))
+    rows = rows.filter(F.col("raw").rlike(SOLID)).select("id", "text_hash", "place", normal(F.col("raw")).alias("flat"))
+    rows = rows.select("id", "text_hash", "place", masked(F.col("flat")).alias("masked"))
+    rows = rows.withColumn("n", F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1)
+    return rows.withColumns({"line": F.xxhash64("masked"), "leaf": F.xxhash64("n", F.substring_index("masked", " ", depth))})
+
+
+def recurring_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, min_docs: int, depth: int, fixed: float, min_tokens: int) -> DataFrame:
+    """(line, keeper) of the lines whose template recurs, from `lines`, the stored rows of line_rows."""
     held = (
-        lines.groupBy("line")
-        .agg(F.countDistinct("text_hash").alias("texts"), F.min(F.coalesce("id", F.lit(_LAST))).alias("keeper"))
-        .withColumn("tokens", F.split("line", " "))
-        .withColumn("n", F.size("tokens"))
-        .filter(F.col("n") >= min_tokens)
-        .withColumn("leaf", F.concat_ws(" ", F.col("n").cast("string"), F.substring_index("line", " ", depth)))
-    )
-    held = stored(held, "line-templates")
-    hot = held.groupBy("leaf").agg(F.sum("texts").alias("in_leaf")).filter(F.col("in_leaf") >= min_docs)
-    kept = held.join(hot.select(F.col("leaf").alias("hot_leaf")), F.col("leaf") == F.col("hot_leaf")).drop("hot_leaf")
-    places = kept.select("leaf", "line", "n", "texts", "keeper", F.posexplode("tokens").alias("place", "token"))
-    constant = places.groupBy("leaf", "place", "token").agg(F.sum("texts").alias("times")).filter((F.col("times") >= min_docs) & (F.col("token") != "<*>"))
-    constant = constant.select(F.col("leaf").alias("c_leaf"), F.col("place").alias("c_place"), F.col("token").alias("c_token"))
-    on = (F.col("leaf") == F.col("c_leaf")) & (F.col("place") == F.col("c_place")) & (F.col("token") == F.col("c_token"))
-    shape = (
-        places.join(constant, on, "left")
-        .groupBy("leaf", "line", "n", "texts", "keeper")
-        .agg(
-            F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("place", F.coalesce("c_token", F.lit("<*>")).alias("t")))), lambda s: s["t"])).alias("template"),
-            F.count("c_token").alias("constants"),
-        )
-        .filter(F.col("constants") >= F.col("n") * fixed)
+        lines.filter(F.col("n") >= min_tokens)
+        .groupBy("line", "text_hash")
+        .agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.min(F.coalesce("id", F.lit(_LAST))).alias("id"))
+        .groupBy("line")
+        .agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.count("*").alias("texts"), F.min("id").alias("keeper"))
     )
-    shape = stored(shape.select("template", "line", "texts", "keeper"), "line-shapes")
-    often = shape.groupBy("template").agg(F.sum("texts").alias("all_texts"), F.min("keeper").alias("first_id")).filter(F.col("all_texts") >= min_docs)
-    often = often.select(F.col("template").alias("t"), "first_id")
-    return shape.join(often, F.col("template") == F.col("t")).select("line", F.col("first_id").alias("keeper"))
+    held = stored(held, "line-counts")
+    hot = held.groupBy("leaf").agg(F.sum("texts").alias("in_leaf")).filter(F.col("in_leaf") >= min_docs).select(F.col("leaf").alias("hot_leaf"))
+    hot_lines = stored(held.join(hot, F.col("leaf") == F.col("hot_leaf"), "left_semi"), "hot-lines")
+
+    # the words of hot lines only: a filter of at most BUCKETS rows keeps the others out of the shuffle
+    bucket = F.pmod(F.col("line"), F.lit(BUCKETS)).cast("int")
+    some = hot_lines.select(bucket.alias("bucket")).distinct()
+    read = line_rows(docs, id_col, text_col, depth).select("line", "masked").withColumn("bucket", bucket)
+    read = read.join(F.broadcast(some), "bucket", "left_semi").groupBy("line").agg(F.first("masked").alias("masked"))
+    tokens = hot_lines.join(read, "line").select("line", "leaf", "texts", F.posexplode(F.split("masked", " ")).alias("place", "token"))
+    tokens = stored(tokens.filter(F.col("token") != "<*>").select("line", "texts", F.xxhash64("leaf", "place", "token").alias("spot")), "hot-tokens")
+    constant = tokens.groupBy("spot").agg(F.sum("texts").alias("times")).filter(F.col("times") >= min_docs).select(F.col("spot").alias("c_spot"))
+    shape = tokens.join(constant, F.col("spot") == F.col("c_spot"), "left_semi").groupBy("line").agg(F.bit_xor("spot").alias("template"), F.count("*").alias("constants"))
+    shape = stored(shape.join(hot_lines, "line").filter(F.col("constants") >= F.col("n") * fixed), "line-shapes")
+    often = shape.groupBy("leaf", "template", "constants").agg(F.sum("texts").alias("all_texts"), F.min("keeper").alias("first_id")).filter(F.col("all_texts") >= min_docs)
+    often = often.select(F.col("leaf").alias("o_leaf"), F.col("template").alias("o_template"), F.col("constants").alias("o_constants"), "first_id")
+    on = (F.col("leaf") == F.col("o_leaf")) & (F.col("template") == F.col("o_template")) & (F.col("constants") == F.col("o_constants"))
+    return shape.join(often, on).select("line", F.col("first_id").alias("keeper"))
 
 
 def deduplicated(
@@ -80,10 +88,8 @@ def deduplicated(
 ) -> DataFrame:
     """(row, n_lines, n_dropped, kept): every input row as a struct, and its text without the dropped lines."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    split = F.split(text, "\n")
-    lines = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), F.posexplode(split).alias("place", "raw"))
-    lines = lines.filter(F.translate("raw", BLANKS, "") != "").withColumn("line", masked(F.col("raw"))).drop("raw")
-    drop = recurring_lines(lines, min_docs, depth, fixed, min_tokens).select(F.col("line").alias("d_line"), "keeper")
+    lines = stored(line_rows(docs, id_col, text_col, depth).drop("masked"), "lines")
+    drop = recurring_lines(docs, lines, id_col, text_col, min_docs, depth, fixed, min_tokens).select(F.col("line").alias("d_line"), "keeper")
     gone = (
         lines.join(drop, (F.col("line") == F.col("d_line")) & (F.coalesce("id", F.lit(_LAST)) != F.col("keeper")))
         .groupBy(F.col("id").alias("g_id"), F.col("text_hash").alias("g_hash"))
@@ -95,7 +101,7 @@ def deduplicated(
     parts = F.split(own, "\n")
     places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("places"))
     kept = F.when(F.col("places").isNull(), own).otherwise(F.array_join(bound(parts, lambda all_: F.transform(places, lambda p: F.get(all_, p))), "\n"))
-    n_lines = F.size(F.filter(F.split(F.coalesce(own, F.lit("")), "\n"), lambda x: F.translate(x, BLANKS, "") != ""))
+    n_lines = F.size(F.filter(F.split(F.coalesce(own, F.lit("")), "\n"), lambda x: x.rlike(SOLID)))
     return both.select("row", "id", n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
 
 
@@ -117,8 +123,10 @@ WITH t AS (
 ), raw AS (
   SELECT doc_id, rid, text, unnest(string_split(text, chr(10))) AS raw, unnest(generate_series(1, len(string_split(text, chr(10))))) AS place FROM t
 ), marked AS (
-  SELECT *, regexp_matches(raw, '[^ 	-]') AS holds,
-         regexp_replace(lower(trim(regexp_replace(raw, '[ 	-]+', ' ', 'g'))), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS line
+  SELECT *, regexp_matches(raw, '[^ 	-
+]') AS holds,
+         regexp_replace(lower(trim(regexp_replace(raw, '[ 	-
+]+', ' ', 'g'))), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS line
   FROM raw
 ), held AS (
   SELECT line, count(DISTINCT text) AS texts, min(coalesce(doc_id, 9223372036854775807)) AS keeper, string_split(line, ' ') AS tokens
