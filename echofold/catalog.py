@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from echofold.queries import exact, similar
+
+_MODULES = (exact, similar)
+QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+SQL: dict = {k: v for m in _MODULES for k, v in m.SQL.items()}

@@ -27,6 +27,14 @@ def levenshtein_ratio(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
+def close_levenshtein(a: Column, b: Column, least: float) -> Column:
+    """levenshtein_ratio where it reaches `least`, else null; distances beyond that are not worked out."""
+    longest = F.greatest(F.length(a), F.length(b))
+    most = F.floor(longest * (1 - least) + 1e-9).cast("int")
+    d = F.call_function("levenshtein", a, b, most)
+    return F.when(F.abs(F.length(a) - F.length(b)) <= most, F.when(longest == 0, F.lit(1.0)).when(d >= 0, 1 - d / longest))
+
+
 def signature_match(a: Column, b: Column) -> Column:
     """Share of equal places of two MinHash signatures; 0 for unequal lengths."""
     same = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, v: s + v)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,6 +94,27 @@ def portable_simhash(features: Column, bits: int = 32) -> Column:
     return let(F.transform(features, digest), one)
 
 
+def simhash(bits: int = 64):
+    """Arrow UDF: array of features -> SimHash as a bit string, high bit first; equal to
+    `portable_simhash`, but the votes of all bits are added up in NumPy."""
+
+    @F.pandas_udf("string")
+    def votes(features: pd.Series) -> pd.Series:
+        from hashlib import md5
+
+        out = []
+        for f in features:
+            if f is None or not len(f):
+                out.append("1" * bits)
+                continue
+            raw = np.frombuffer(b"".join(md5(x.encode()).digest()[: bits // 8] for x in f), np.uint8)
+            ones = np.unpackbits(raw.reshape(len(f), -1), axis=1).sum(0, dtype=np.int64)
+            out.append("".join("1" if v else "0" for v in (2 * ones >= len(f))))
+        return pd.Series(out)
+
+    return votes
+
+
 SYNONYMS = {
     "aggregate": "aggregate calculate compute sum", "total": "amount total", "cart": "basket", "create": "build create generate make",
     "validate": "check validate verify", "parse": "convert deserialize", "write": "emit post send", "read": "fetch get load read",

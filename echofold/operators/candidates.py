@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from echofold.functions.similarity import intent_score, signature_match
 from echofold.functions.text import PERMUTATIONS
+from echofold.operators.graph import written
 
 BANDS = 26  # 25 of 128 places may differ at 0.8, so one of 26 bands is whole: no pair is missed
 
@@ -20,7 +21,7 @@ def signature_classes(rows: DataFrame, key: str, signature: str) -> tuple[DataFr
     """(classes: class_id, signature, n; members: key, class_id): equal signatures are one class, so copies
     never form pairs. The class is named after its least key."""
     digest = F.md5(F.array_join(signature, ""))
-    named = rows.select(F.col(key).alias("key"), F.col(signature).alias("signature"), digest.alias("digest"))
+    named = written(rows.select(F.col(key).alias("key"), F.col(signature).alias("signature"), digest.alias("digest")), "signatures")
     classes = named.groupBy("digest").agg(F.min("key").alias("class_id"), F.first("signature").alias("signature"), F.count("*").alias("n"))
     members = named.select("key", "digest").join(classes.select("digest", "class_id"), "digest").select("key", "class_id")
     return classes.select("class_id", "signature", "n"), members
@@ -47,7 +48,7 @@ def band_pairs(rows: DataFrame, fingerprint: str, width: int, bands: int = 4, mi
     `min_bands` slices of the fingerprint and differ by at most `max_gap` lines. Rows that agree in
     fingerprint, suffix and line count are one point, joined through its least key."""
     slices = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.substring(fingerprint, b * width + 1, F.lit(width)).alias("bits")))
-    points = rows.groupBy("suffix", "line_count", fingerprint).agg(F.min("key").alias("key"))
+    points = written(rows.groupBy("suffix", "line_count", fingerprint).agg(F.min("key").alias("key")), "points")
     keyed = points.select("key", "suffix", "line_count", F.inline(slices))
     l, r = (keyed.select(F.col("key").alias(s), F.col("suffix"), F.col("band"), F.col("bits"), F.col("line_count").alias(f"{s}_lines")) for s in "lr")
     met = l.join(r, ["suffix", "band", "bits"]).filter((F.col("l") < F.col("r")) & (F.abs(F.col("l_lines") - F.col("r_lines")) <= max_gap))
@@ -58,7 +59,7 @@ def not_overlapping(l_file: Column, l_start: Column, l_end: Column, r_file: Colu
     return (l_file != r_file) | (r_end < l_start) | (r_start > l_end)
 
 
-def term_pairs(profiles: DataFrame, threshold: float = 0.84, purpose_weight: int = 1) -> DataFrame:
+def term_pairs(profiles: DataFrame, threshold: float = 0.84, floor: float | None = None) -> DataFrame:
     """(l, r, similarity): profiles (key and the profile fields) that share a purpose and, if only one,
     two calls or data terms; terms in too many profiles lead nowhere; kept from `threshold` - .10, held
     within .70 and .82."""
@@ -74,7 +75,7 @@ def term_pairs(profiles: DataFrame, threshold: float = 0.84, purpose_weight: int
     field = lambda s: {c: F.col(f"{s}_{c}") for c in ("purpose", "calls", "data", "domain", "operations")}
     shared = lambda c: F.size(F.array_intersect(f"l_{c}", f"r_{c}"))
     strong = (shared("purpose") >= 2) | ((shared("purpose") == 1) & (shared("calls") + shared("data") >= 2))
-    floor = max(0.70, min(0.82, threshold - 0.10))
+    floor = max(0.70, min(0.82, threshold - 0.10)) if floor is None else floor
     return both.filter(strong).withColumn("similarity", intent_score(field("l"), field("r"))).filter(F.col("similarity") >= floor).select("l", "r", "similarity")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echofold.functions.text import masked, normalized, short_hash
-from echofold.operators.graph import components
+from echofold.operators.graph import components, written
 
 MEMBER = ["group_id", "duplicate_type", "file", "line_start", "line_end", "function_name"]
 
@@ -71,7 +71,8 @@ def without_subsets(members: DataFrame, groups: DataFrame, keep_type: str = "int
     """Groups, best first, that still bring two places no better group holds. The order matters only
     among groups that share places, so each connected component is decided by itself."""
     place = F.xxhash64("file", "line_start", "line_end")
-    held = members.select("group_id", place.alias("place")).distinct()
+    held = written(members.select("group_id", place.alias("place")).distinct(), "places")
+    groups = written(groups, "groups")
     node = F.xxhash64("group_id")
     edges = held.select(node.alias("a"), F.xxhash64(F.lit("place"), F.col("place")).alias("b"))
     label = components(edges)
@@ -95,6 +96,7 @@ def star_clusters(pairs: DataFrame) -> DataFrame:
     """Greedy stars over verified pairs (a, b, similarity), a before b in order: an unused anchor takes
     all its unused partners. Components do not touch each other, so each is worked through alone.
     -> (anchor, member, similarity); the anchor is a member of similarity 1."""
+    pairs = written(pairs, "pairs")
     label = components(pairs.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")))
     rows = pairs.withColumn("_n", F.xxhash64("a")).join(label, F.col("_n") == F.col("node")).select("label", "a", "b", "similarity")
 
@@ -115,6 +117,7 @@ def star_clusters(pairs: DataFrame) -> DataFrame:
 
 def one_to_one(pairs: DataFrame, limit: int | None = None) -> DataFrame:
     """Pairs by falling similarity, each node in one pair at most; `limit` cuts the ranking at the end."""
+    pairs = written(pairs, "pairs")
     label = components(pairs.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")))
     rows = pairs.withColumn("_n", F.xxhash64("a")).join(label, F.col("_n") == F.col("node")).select("label", *pairs.columns)
 
