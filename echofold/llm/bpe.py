@@ -280,20 +280,25 @@ def encode_rows(texts: pa.Array, path: str) -> Iterator[tuple[int, int, np.ndarr
         yield first, last, ids, counts
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit), decoded_sha256."""
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, keep_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit), decoded_sha256, and with
+    `keep_ids` the ids."""
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, ids_hash, text_hash = [], [], []
-            for _, _, ids, counts in encode_rows(b.column(1), path):
+            for first, last, ids, counts in encode_rows(b.column(1), path):
                 ends = np.cumsum(counts)
-                n.append(counts)
                 raw = ids.astype("<u4")
-                ids_hash += [hashlib.sha256(raw[e - c : e].tobytes()).hexdigest() for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
-                text_hash += [hashlib.sha256(t.encode()).hexdigest() for t in encoder(path).decode(ids, counts)]
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(n)), pa.array(ids_hash), pa.array(text_hash)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                cols = {
+                    "doc_id": b.column(0).slice(first, last - first),
+                    "n_tokens": pa.array(counts),
+                    "ids_sha256": pa.array([hashlib.sha256(raw[e - c : e].tobytes()).hexdigest() for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]),
+                    "decoded_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in encoder(path).decode(ids, counts)]),
+                }
+                if keep_ids:
+                    cols["ids"] = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

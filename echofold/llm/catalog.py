@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from echofold.llm import bpe, line_templates, mixing, near_dups, quality_classifier, quality_rules, url_reputation, wavelet
+from echofold.llm import bpe, gif, line_templates, masked_lm, mixing, near_dups, quality_classifier, quality_rules, url_reputation, wavelet
 from echofold.llm.common import table
 
 
@@ -16,6 +16,14 @@ def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.report(table(spark, sf_dir, "documents"))
 
 
+def op3_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.digests(table(spark, sf_dir, "documents"))
+
+
+def op4_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op5_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.stored_tokens(table(spark, sf_dir, "documents"))
 
@@ -43,6 +51,8 @@ def op10_mix_weighted_fair(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_compression_classifier": op1_compression_classifier,
     "op2_line_templates": op2_line_templates,
+    "op3_gif_media": op3_gif_media,
+    "op4_masked_pseudo_likelihood": op4_masked_pseudo_likelihood,
     "op5_wavelet_shards": op5_wavelet_shards,
     "op6_simhash_small_world": op6_simhash_small_world,
     "op7_host_reputation": op7_host_reputation,
