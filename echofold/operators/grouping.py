@@ -121,6 +121,8 @@ def one_to_one(pairs: DataFrame, limit: int | None = None) -> DataFrame:
     label = components(pairs.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")))
     rows = pairs.withColumn("_n", F.xxhash64("a")).join(label, F.col("_n") == F.col("node")).select("label", *pairs.columns)
 
+    columns = list(pairs.columns)
+
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         used: set = set()
         keep = []
@@ -129,7 +131,7 @@ def one_to_one(pairs: DataFrame, limit: int | None = None) -> DataFrame:
             if a not in used and b not in used:
                 used |= {a, b}
                 keep.append(i)
-        return pdf.loc[keep, list(pairs.columns)]
+        return pdf.loc[keep, columns]
 
     out = rows.groupBy("label").applyInPandas(match, pairs.schema)
     return out.orderBy(F.desc("similarity"), "a", "b").limit(limit) if limit else out
