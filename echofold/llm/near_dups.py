@@ -103,7 +103,8 @@ def shard_rows(points: DataFrame, hot: int) -> DataFrame:
     each = points.select("node", "rep", "sig", F.posexplode("keys").alias("i", "k")).select(F.xxhash64("i", "k").alias("key"), "node", "rep", "sig")
     counts = stored(each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key-counts")
     named = counts.select(F.col("key").alias("c_key"), "n")
-    met = each.join(named.filter(F.col("n") <= hot), F.col("key") == F.col("c_key"), "left_semi")
+    # both sides are shuffled at every size: the keys that are left grow with the rows
+    met = each.join(named.filter(F.col("n") <= hot).hint("merge"), F.col("key") == F.col("c_key"), "left_semi")
     if not counts.filter(F.col("n") > hot).take(1):
         return met
     k = F.transform("keys", lambda x, i: F.xxhash64(i, x))
