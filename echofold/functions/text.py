@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 PERMUTATIONS = 128
 KEPT_WORDS = (
-    "and as async await break case catch class const continue def do else except false finally for foreach from "
-    "function if import in let match new none not null or pass raise return switch throw true try var while with yield"
+    "if else case switch match for foreach while do break continue try catch except finally raise throw return yield pass "
+    "import from class def function new let var const async await with as and or not in true false none null"
 ).split()
 
 
@@ -121,7 +121,7 @@ SYNONYMS = {
     "format": "format render serialize", "start": "launch", "delete": "remove", "stop": "stop terminate", "list": "list",
 }
 ALIASES = {w: k for k, ws in SYNONYMS.items() for w in ws.split()}
-GENERIC = set("args async await class const def else false for function if impl in init initializer let main method none null handler callback arrow return run self this true var while".split())
+GENERIC = set("self this args main init initializer impl method function def class let var const if else for while in return true false none null async await handler callback arrow run".split())
 
 
 def identifier_words(value: Column) -> Column:
