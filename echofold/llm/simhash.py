@@ -1,8 +1,8 @@
 """256-bit SimHash and MinHash routing keys of texts, a batch at a time in NumPy.
 
 Features are pairs of neighbouring words (single words where there is only one), words being runs of
-letters, digits and non-ASCII bytes in lower case. Every bit of the SimHash is the sign of the features'
-votes, repeated features voting each time. A key joins the minima of two permutations of the features:
+letters, digits and non-ASCII bytes in lower case; a text has each of them once. Every bit of the
+SimHash is the sign of the features' votes. A key joins the minima of two permutations of the features:
 texts of Jaccard similarity J share it with J * J, so frequent pairs of words bring few strangers together
 and one of `KEYS` keys misses a pair of J = .7 in 3 of 10000 cases.
 """
@@ -33,7 +33,7 @@ def folded(data: np.ndarray) -> np.ndarray:
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(feature hashes, row of each), rows ascending."""
+    """(feature hashes, row of each), rows ascending, each feature of a row once."""
     low = folded(data)
     start, end, row = words(low, offsets)
     h = Slices(low).hashes(start, end)
@@ -45,7 +45,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     nxt = np.append(h[1:], np.uint64(0))
     pair = mixed(h * np.uint64(3) + nxt * np.uint64(0x9E3779B97F4A7C15))
     use = ~last | alone
-    return np.where(alone, h, pair)[use], row[use]
+    # each feature once a row: one sort of 24 bits of row and 40 bits of hash
+    once = np.unique(row[use].astype(np.uint64) << np.uint64(40) | np.where(alone, h, pair)[use] >> np.uint64(24))
+    return mixed(once & np.uint64((1 << 40) - 1)), (once >> np.uint64(40)).astype(np.int64)
 
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -36,7 +36,7 @@ def corpus():
 
 def brute_fingerprint(t):
     w = simhash.folded(np.frombuffer(t.encode(), np.uint8)).tobytes().split()
-    return len(w) - 1 if len(w) > 1 else len(w)
+    return len(set(zip(w, w[1:], strict=False)) if len(w) > 1 else w)
 
 
 def prints(texts):
