@@ -125,7 +125,7 @@ def linked(sig: np.ndarray, size: np.ndarray, audited: np.ndarray, radius: int,
     the target the beam is doubled, and past `widest` the group is searched exactly, block by block."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     found = there = 0
-    world = SmallWorld(sig, size, beam)
+    world = SmallWorld(sig, size, max(beam, 2 * OUT))
     todo = np.flatnonzero(size > 1)
     while len(todo):
         mine = np.flatnonzero(np.isin(world.group, todo)) if len(todo) < len(size) else np.arange(len(sig))
