@@ -12,8 +12,8 @@ planes, and the compressed lengths of the document table (doc_id, null flag, n i
 
 Order: documents are range-partitioned by id and sorted (null ids first, ties by text hash), every
 partition writes its shards in turn, so reading shards by (partition, number) is ascending id order.
-A shard closes at `SHARD_IDS` ids, which bounds a task's memory; a larger document has a shard of its
-own. Writing is to a temporary name and then a rename, so a repeated task leaves the same file.
+A shard closes before the block of texts that would take it over `SHARD_IDS` ids, which bounds a task's
+memory; a larger block (one very long document) has a shard of its own. Writing is to a temporary name and then a rename, so a repeated task leaves the same file.
 
 Edge cases: null and empty texts are one id, the end id; repeated rows are documents of their own; an
 empty table gives an empty result; only id and text are read, so other columns cannot clash.

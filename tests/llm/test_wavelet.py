@@ -41,7 +41,11 @@ def test_shards_in_order(spark):
     rows += [(7, "again"), (7, "again"), (None, "no id"), (1000, None), (1001, "")]
     rng.shuffle(rows)
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, start int").repartition(5)
-    manifest = wavelet.write_shards(docs, fresh_dir(spark, "t"), shard_ids=400)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        manifest = wavelet.write_shards(docs, fresh_dir(spark, "t"), shard_ids=400)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert manifest.count() > 8
     got = wavelet.read_shards(manifest).collect()
     tok = bpe.encoder(bpe.tokenizer_path()).tokenizer
