@@ -4,7 +4,8 @@
 2. A point goes to the shards of its keys, so texts that share most word pairs meet in several shards.
    Keys held by more than `HOT` points are split by a second key of the same text.
 3. In a shard each key's points form a navigable small-world graph; every point is sent as a query with
-   a beam that expands where an audit against exact search finds too little (`small_world.linked`).
+   a beam that expands while all of it lies within the radius and where an audit against exact search
+   finds too little; past the widest beam search is exact (`small_world.linked`).
 4. Links within `RADIUS` bits (checked on the whole SimHashes) are united by connected components:
    labels go to the least neighbour and jump along themselves until nothing changes.
 Links are between different texts; copies of a text are members of its point and never form pairs.

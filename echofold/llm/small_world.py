@@ -110,51 +110,70 @@ class SmallWorld:
 
     def exact(self, query: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """All other points of the query's group within the radius, nearest first."""
-        g = self.group[query]
+        _, hit, d = self.exact_all(int(self.group[query]), np.array([query]), radius)
+        order = np.lexsort((hit, d))
+        return hit[order], d[order]
+
+    def exact_all(self, g: int, query: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(from, to, distance) of all pairs of these points of group g with others of it within the radius."""
         a, b = int(self.first[g]), int(self.first[g] + self.size[g])
-        d = distance(self.sig[query], self.sig[a:b])
-        d[query - a] = 1 << 20
-        hit = np.flatnonzero(d <= radius)
-        hit = hit[np.lexsort((hit, d[hit]))]
-        return hit + a, d[hit]
+        parts = []
+        step = max(1, 2_000_000 // max(1, b - a))
+        for k in range(0, len(query), step):
+            q = query[k : k + step]
+            d = pairwise(self.sig[q], self.sig[a:b])
+            d[np.arange(len(q)), q - a] = FAR_BITS
+            i, j = np.nonzero(d <= radius)
+            parts.append((q[i], j + a, d[i, j].astype(np.int64)))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+FAR_BITS = 1000
+
+
+def pairwise(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(len(a), len(b)) Hamming distances."""
+    out = np.zeros((len(a), len(b)), np.uint16)
+    for k in range(a.shape[1]):
+        out += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
+    return out
 
 
 def linked(sig: np.ndarray, size: np.ndarray, audited: np.ndarray, radius: int, beam: int = 16, widest: int = 256, target: float = 0.98, per_group: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
     """(from, to, distance, found, there): links within the radius found by searching from every point.
-    The audit compares at most `per_group` of the `audited` points of each group with exact search; below
-    the target the beam is doubled, and past `widest` the group is searched exactly, block by block."""
+    A point whose beam is full of points within the radius may have more of them and is searched again
+    with twice the beam. The audit compares at most `per_group` of the `audited` points of each group with
+    all that exact search finds; below the target the points of the group get twice the beam, too. Past
+    `widest` exact search takes what is left."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     found = there = 0
     world = SmallWorld(sig, size, max(beam, 2 * OUT))
-    todo = np.flatnonzero(size > 1)
-    while len(todo):
-        mine = np.flatnonzero(np.isin(world.group, todo)) if len(todo) < len(size) else np.arange(len(sig))
-        ids, dist = world.search(mine, beam)
-        hit, all_ = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
-        asked = np.zeros(len(size), np.int64)
-        big = size > ROOTS  # of a smaller group every point is met
-        for k in np.flatnonzero(audited[mine] & big[world.group[mine]]).tolist():
-            g = world.group[mine[k]]
-            if asked[g] < per_group:
-                asked[g] += 1
-                want = world.exact(int(mine[k]), radius)[1][:beam]
-                all_[g] += len(want)
-                # as near as the exact ones; ties may be other points
-                hit[g] += min(len(want), int((dist[k][: len(want)] <= want).sum())) if len(want) else 0
-        poor = todo[(hit[todo] < target * all_[todo])]
-        good = ~np.isin(world.group[mine], poor)
-        ok = (dist <= radius) & good[:, None]
-        out.append((np.repeat(mine, ok.sum(1)), ids[ok], dist[ok]))
-        found, there = found + int(hit[np.setdiff1d(todo, poor)].sum()), there + int(all_[np.setdiff1d(todo, poor)].sum())
+    asked = np.flatnonzero(audited & (size > ROOTS)[world.group])  # of a smaller group every point is met
+    place = np.arange(len(asked)) - np.searchsorted(world.group[asked], world.group[asked])
+    asked = asked[place < per_group]
+    truth = np.full(len(sig), -1, np.int64)
+    for g, q in _by_group(world.group, asked):
+        truth[q] = np.bincount(world.exact_all(g, q, radius)[0] - q[0], minlength=q[-1] - q[0] + 1)[q - q[0]]
+    todo = np.flatnonzero((size > 1)[world.group])
+    while len(todo) and beam <= widest:
+        ids, dist = world.search(todo, beam)
+        near = (dist <= radius).sum(1)
+        full = (near == beam) & (beam < world.size[world.group[todo]] - 1)
+        group = world.group[todo]
+        told = np.flatnonzero((truth[todo] >= 0) & ~full)
+        hit = np.bincount(group[told], near[told], len(size))
+        all_ = np.bincount(group[told], truth[todo[told]], len(size))
+        again = full | (hit < target * all_)[group]
+        ok = (dist <= radius) & ~again[:, None]
+        out.append((np.repeat(todo, ok.sum(1)), ids[ok], dist[ok]))
+        told = told[~again[told]]
+        found, there = found + int(near[told].sum()), there + int(truth[todo[told]].sum())
+        todo = todo[again]
         beam *= 2
-        if beam > widest:
-            for g in poor.tolist():
-                for q in range(int(world.first[g]), int(world.first[g] + size[g])):
-                    to, d = world.exact(q, radius)
-                    out.append((np.full(len(to), q), to, d))
-                found, there = found + int(all_[g]), there + int(all_[g])
-            break
-        todo = poor
+    for g, q in _by_group(world.group, todo):
+        out.append(world.exact_all(g, q, radius))
+        exact = int(truth[q][truth[q] >= 0].sum())
+        found, there = found + exact, there + exact
     if not out:
         none = np.zeros(0, np.int64)
         return none, none, none, found, there
@@ -162,6 +181,13 @@ def linked(sig: np.ndarray, size: np.ndarray, audited: np.ndarray, radius: int,
     return a, b, d, found, there
 
 
+def _by_group(group: np.ndarray, points: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(group, its points) of ascending points."""
+    own = group[points]
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+    return list(zip(own[first].tolist(), np.split(points, first[1:]), strict=True)) if len(own) else []
+
+
 def shuffled_order(keys: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     """Order that groups equal keys and shuffles within them, the same in every run."""
     return np.lexsort((mixed(nodes.astype(np.uint64)), keys))

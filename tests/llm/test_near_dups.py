@@ -132,3 +132,37 @@ def test_recall_against_all_rows(spark):
                 total += 1
                 hit += got[q] == got[j]
     assert total >= 8 and hit >= 0.9 * total
+
+
+def two_clusters():
+    """40 points around each of two centres 40 bits apart: all within 60 bits, the nearest in the own cluster."""
+    rng = np.random.default_rng(11)
+    centre = rng.integers(0, 2, 256)
+    other = centre.copy()
+    other[:40] ^= 1
+    x = np.repeat(np.stack([centre, other]), 40, axis=0)
+    for i in range(80):
+        x[i, rng.choice(np.arange(40, 256), 4, False)] ^= 1
+    return np.packbits(x.astype(np.uint8), axis=1).view(np.uint64)
+
+
+def test_links_past_the_beam():
+    sig = two_clusters()
+    rng = np.random.default_rng(6)
+    sig = np.concatenate([sig[rng.permutation(80)], rng.integers(0, 2**63, (300, 4)).astype(np.uint64)])
+    a, b, _, found, there = small_world.linked(sig, np.array([380]), np.ones(380, bool), 60)
+    want = {(i, j) for i in range(80) for j in np.flatnonzero(simhash.distance(sig[i], sig) <= 60).tolist() if i < j}
+    got = {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist(), strict=True)}
+    assert len(want) == 40 * 79 and got <= want and len(got) >= 0.98 * len(want)
+    assert there >= 64 * 79 and found >= 0.98 * there
+
+
+def test_links_of_a_large_family(spark):
+    rng = random.Random(12)
+    base = text(rng, 300)
+    rows = [(i, edited(rng, base, 60)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _, sig, _ = prints([t for _, t in rows])
+    got = {r["doc_id"]: r["n_links"] for r in near_dups.report(docs).collect()}
+    want = {i: int((simhash.distance(sig[i], sig) <= near_dups.RADIUS).sum()) - 1 for i, _ in rows}
+    assert min(want.values()) > near_dups.BEAM and got == want
