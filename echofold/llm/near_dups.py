@@ -2,7 +2,8 @@
 
 1. Every text gets a 256-bit SimHash and `KEYS` MinHash routing keys; equal texts (MD5) become one point.
 2. A point goes to the shards of its keys, so texts that share most word pairs meet in several shards.
-   Keys held by more than `HOT` points are split by a second key of the same text.
+   Points of a key held by more than `HOT` are split by salts; a shard holds those of two salts, every
+   two salts have one, so all points of the key meet at every size, about `HOT` in a shard.
 3. In a shard each key's points form a navigable small-world graph; every point is sent as a query with
    a beam that expands while all of it lies within the radius and where an audit against exact search
    finds too little; past the widest beam search is exact (`small_world.linked`).
@@ -14,7 +15,8 @@ Measured distances: near copies with one word in thirty changed lie around 34 of
 short texts up to 60, unrelated texts above 70; RADIUS lies in the gap.
 
 Scale: no text is shuffled; a shard row is a hash, a key and 32 bytes. A key with one point leaves before
-the graphs. Graph search costs about the beam times log of the key's points, however hot the key. Every
+the graphs. Graph search costs about the beam times log of the shard's points and grows with the links
+there are; a point of a hot key of n points is in 2 n / `HOT` shards. Every
 round of labels is a written table, so a lost executor costs its tasks only. Nothing is collected but
 the number of changed labels.
 
@@ -38,6 +40,7 @@ from echofold.llm.small_world import linked, shuffled_order
 from echofold.llm.vectext import blocks
 
 RADIUS, BEAM, HOT = 60, 16, 20_000
+HOT_SALT = 77
 LAST = 2**63 - 1
 
 
@@ -100,7 +103,8 @@ def shard_links(rows: DataFrame, radius: int, beam: int) -> DataFrame:
 
 
 def shard_rows(points: DataFrame, hot: int) -> DataFrame:
-    """(node, rep, sig, keys) -> (key, node, rep, sig), keys of one point left out and hot keys split."""
+    """(node, rep, sig, keys) -> (key, node, rep, sig), keys of one point left out and hot keys split by salts,
+    every two of which meet."""
     each = points.select("node", "rep", "sig", F.posexplode("keys").alias("i", "k")).select(F.xxhash64("i", "k").alias("key"), "node", "rep", "sig")
     counts = stored(each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key-counts")
     named = counts.select(F.col("key").alias("c_key"), "n")
@@ -108,13 +112,13 @@ def shard_rows(points: DataFrame, hot: int) -> DataFrame:
     met = each.join(named.filter(F.col("n") <= hot).hint("merge"), F.col("key") == F.col("c_key"), "left_semi")
     if not counts.filter(F.col("n") > hot).take(1):
         return met
-    k = F.transform("keys", lambda x, i: F.xxhash64(i, x))
-    crowded = points.select("node", "rep", "sig", F.explode(k).alias("key"), k.alias("all"))
-    crowded = crowded.join(named.filter(F.col("n") > hot), F.col("key") == F.col("c_key"), "left_semi")
-    pairs = crowded.select("node", "rep", "sig", "key", F.explode(F.array_except("all", F.array("key"))).alias("other"))
-    pairs = pairs.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "node", "rep", "sig").dropDuplicates(["key", "node"])
-    again = pairs.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("c_key"))
-    return met.unionByName(pairs.join(again, F.col("key") == F.col("c_key"), "left_semi"))
+    # a hot key's points get salts of about hot / 2 points; those of every two salts meet in one shard
+    salts = F.ceil(F.col("n") * 2 / hot).cast("int")
+    crowded = each.join(named.filter(F.col("n") > hot), F.col("key") == F.col("c_key")).withColumn("salts", salts)
+    mine = F.pmod(F.xxhash64(F.lit(HOT_SALT), "node"), "salts").cast("int")
+    pairs = crowded.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    pairs = pairs.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "node", "rep", "sig")
+    return met.unionByName(pairs)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -166,3 +166,15 @@ def test_links_of_a_large_family(spark):
     got = {r["doc_id"]: r["n_links"] for r in near_dups.report(docs).collect()}
     want = {i: int((simhash.distance(sig[i], sig) <= near_dups.RADIUS).sum()) - 1 for i, _ in rows}
     assert min(want.values()) > near_dups.BEAM and got == want
+
+
+def test_one_shared_hot_key_is_enough(spark):
+    """Points of one hot key that share no other: every two of them meet, in shards of bounded size."""
+    rows = [(i, i, bytes(32), [7, *range(100 + 11 * i, 111 + 11 * i)]) for i in range(200)]
+    points = spark.createDataFrame(rows, "node long, rep long, sig binary, keys array<long>")
+    shards = {}
+    for r in near_dups.shard_rows(points, 40).collect():
+        shards.setdefault(r["key"], set()).add(r["node"])
+    met = {(a, b) for s in shards.values() for a in s for b in s if a < b}
+    assert len(met) == 200 * 199 // 2
+    assert 1 < len(shards) and max(map(len, shards.values())) < 80
