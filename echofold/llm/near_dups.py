@@ -18,7 +18,8 @@ Scale: no text is shuffled; a shard row is a hash, a key and 32 bytes. A key wit
 the graphs. Graph search costs about the beam times log of the shard's points and grows with the links
 there are; a point of a hot key of n points is in 2 n / `HOT` shards. Every
 round of labels is a written table, so a lost executor costs its tasks only. Nothing is collected but
-the number of changed labels.
+the number of changed labels. The recall audit compares every 50th text with all, so it grows as the square
+of the texts.
 
 Edge cases: null, empty and wordless texts have no feature and are alike only if equal (null is empty);
 repeated rows of an id count as copies; null ids take part and are never preferred as the kept one;
@@ -36,11 +37,11 @@ from pyspark.sql import functions as F
 
 from echofold.llm.common import stored
 from echofold.llm.simhash import fingerprints
-from echofold.llm.small_world import linked, shuffled_order
+from echofold.llm.small_world import linked, pairwise, shuffled_order
 from echofold.llm.vectext import blocks
 
 RADIUS, BEAM, HOT = 60, 16, 20_000
-HOT_SALT = 77
+HOT_SALT, AUDIT_BLOCK = 77, 16_384
 LAST = 2**63 - 1
 
 
@@ -64,7 +65,7 @@ def fingerprinted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shard_links(rows: DataFrame, radius: int, beam: int) -> DataFrame:
-    """(key, node, rep, sig), at least two rows a key -> (a, b, bits) links, and audit rows (null, found, there)."""
+    """(key, node, rep, sig), at least two rows a key -> (a, b, bits) links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -73,12 +74,10 @@ def shard_links(rows: DataFrame, radius: int, beam: int) -> DataFrame:
             order = shuffled_order(key, node)
             key, node, rep, sig = key[order], node[order], rep[order], sig[order]
             size = np.diff(np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)))
-            a, b, bits, found, there = linked(sig, size, rep % 50 == 0, radius, beam)
+            a, b, bits, _, _ = linked(sig, size, rep % 50 == 0, radius, beam)
             lo, hi = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
             _, once = np.unique(np.stack([lo, hi]), axis=1, return_index=True) if len(lo) else (None, np.zeros(0, np.int64))
-            audit = lambda x: pa.array([x], pa.int64())
-            cols = [pa.concat_arrays([pa.array(x[once].astype(np.int64)), audit(y)]) for x, y in ((lo, None), (hi, found), (bits, there))]
-            return pa.RecordBatch.from_arrays(cols, ["a", "b", "bits"])
+            return pa.RecordBatch.from_arrays([pa.array(x[once].astype(np.int64)) for x in (lo, hi, bits)], ["a", "b", "bits"])
 
         for batch in batches:  # keys ascend; all but the last key of what has come are complete
             if not batch.num_rows:
@@ -121,6 +120,46 @@ def shard_rows(points: DataFrame, hot: int) -> DataFrame:
     return met.unionByName(pairs)
 
 
+def true_links(points: DataFrame, radius: int, block: int = AUDIT_BLOCK) -> DataFrame:
+    """(there): links within the radius that exact search over all points finds for those of `rep` divisible by 50,
+    a row for each block of queries and partition of points."""
+    known = points.select("node", "rep", "sig")
+    n = known.filter("rep % 50 = 0").count()
+    blocks_ = -(-n // block)
+    if not blocks_:
+        return points.sparkSession.createDataFrame([], "there long")
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = known.filter("rep % 50 = 0").select(F.pmod(F.xxhash64(F.lit(HOT_SALT), "node"), F.lit(blocks_)).alias("of"), "node", "sig", F.lit(True).alias("asks"))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    told = known.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks_ - 1).cast("long"))).alias("of"), "node", "sig", F.lit(False).alias("asks"))
+    told = told.withColumn("part", F.pmod(F.xxhash64(F.lit(HOT_SALT + 1), "node"), F.lit(parts)).cast("int"))
+    rows = asked.unionByName(told).repartition(parts, "of", "part").sortWithinPartitions("of", "part", F.desc("asks"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, node, sig, there = None, [], [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cell = np.stack([np.array(b.column(i)) for i in range(2)], 1)
+            nodes, asks = np.array(b.column(2)), b.column(4).to_numpy(zero_copy_only=False)
+            sigs = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint64).reshape(-1, 4)
+            ends = np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1
+            for x, y in zip([0, *ends.tolist()], [*ends.tolist(), len(cell)], strict=True):
+                if at != tuple(cell[x]):
+                    at, node, sig = tuple(cell[x]), [], []
+                q = x + int(asks[x:y].sum())  # the queries of a cell come first
+                node.append(nodes[x:q])
+                sig.append(sigs[x:q])
+                mine, own = np.concatenate(node), np.concatenate(sig)
+                step = max(1, 1_000_000 // max(1, y - q))
+                for k in range(0, len(mine) if y > q else 0, step):
+                    near = pairwise(own[k : k + step], sigs[q:y]) <= radius
+                    there += int(near.sum()) - int((near & (mine[k : k + step, None] == nodes[None, q:y])).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([there], pa.int64())], ["there"])
+
+    return rows.select("of", "part", "node", "sig", "asks").mapInArrow(run, "there long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) -> (node, label): the least node of each connected component."""
     both = stored(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))), "edges")
@@ -138,14 +177,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, beam: int = BEAM, hot: int = HOT) -> DataFrame:
     """id, class_id (least id of the class), n_links (of its text, to other texts), n_copies (rows of its
-    text), recall (of the audit, over all shards); one row per document."""
+    text), recall (links found of those exact search over all points finds, for texts whose least id is divisible
+    by 50); one row per document."""
     rows = stored(fingerprinted(docs, id_col, text_col), "fingerprints")
     points = stored(rows.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"), F.first("sig").alias("sig"), F.first("keys").alias("keys")), "points")
     made = stored(shard_links(shard_rows(points.filter("keys IS NOT NULL"), hot), radius, beam), "links")
-    audit = made.filter("a IS NULL").agg(F.sum("b").alias("found"), F.sum("bits").alias("there")).first()
-    recall = audit["found"] / audit["there"] if audit["there"] else 1.0
-    edges = stored(made.filter("a IS NOT NULL").groupBy("a", "b").agg(F.min("bits").alias("bits")), "verified")
+    edges = stored(made.groupBy("a", "b").agg(F.min("bits").alias("bits")), "verified")
     degree = edges.select(F.explode(F.array("a", "b")).alias("d_node")).groupBy("d_node").agg(F.count("*").alias("n_links"))
+    there = true_links(points.filter("keys IS NOT NULL"), radius).agg(F.sum("there")).first()[0]
+    asked = points.filter("rep % 50 = 0").select("node")
+    found = degree.join(asked, F.col("d_node") == F.col("node")).agg(F.sum("n_links")).first()[0] if there else 0
+    recall = (found or 0) / there if there else 1.0
     labels = components(edges).select(F.col("node").alias("l_node"), "label")
     named = points.select("node", "rep", "n_copies").join(labels, F.col("node") == F.col("l_node"), "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("rep").alias("class_id")).withColumnRenamed("label", "c_label")

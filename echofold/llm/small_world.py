@@ -128,7 +128,7 @@ class SmallWorld:
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-FAR_BITS = 1000
+FAR_BITS, LEAST = 1000, 8
 
 
 def pairwise(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -139,18 +139,18 @@ def pairwise(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def linked(sig: np.ndarray, size: np.ndarray, audited: np.ndarray, radius: int, beam: int = 16, widest: int = 256, target: float = 0.98, per_group: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+def linked(sig: np.ndarray, size: np.ndarray, audited: np.ndarray, radius: int, beam: int = 16, widest: int = 256, target: float = 0.98) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
     """(from, to, distance, found, there): links within the radius found by searching from every point.
     A point whose beam is full of points within the radius may have more of them and is searched again
-    with twice the beam. The audit compares at most `per_group` of the `audited` points of each group with
-    all that exact search finds; below the target the points of the group get twice the beam, too. Past
+    with twice the beam. The audit compares the `audited` points, and `LEAST` of every group with so many,
+    with all that exact search finds; below the target the points of the group get twice the beam, too. Past
     `widest` exact search takes what is left."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     found = there = 0
     world = SmallWorld(sig, size, max(beam, 2 * OUT))
-    asked = np.flatnonzero(audited & (size > ROOTS)[world.group])  # of a smaller group every point is met
-    place = np.arange(len(asked)) - np.searchsorted(world.group[asked], world.group[asked])
-    asked = asked[place < per_group]
+    rank = np.arange(len(sig)) - world.first[world.group]
+    some = rank % np.maximum(1, size // LEAST)[world.group] == 0  # groups are shuffled
+    asked = np.flatnonzero((audited | some) & (size > ROOTS)[world.group])  # of a smaller group every point is met
     truth = np.full(len(sig), -1, np.int64)
     for g, q in _by_group(world.group, asked):
         truth[q] = np.bincount(world.exact_all(g, q, radius)[0] - q[0], minlength=q[-1] - q[0] + 1)[q - q[0]]

@@ -178,3 +178,23 @@ def test_one_shared_hot_key_is_enough(spark):
     met = {(a, b) for s in shards.values() for a in s for b in s if a < b}
     assert len(met) == 200 * 199 // 2
     assert 1 < len(shards) and max(map(len, shards.values())) < 80
+
+
+def test_every_group_is_audited():
+    """A group without any id divisible by 50 is widened all the same."""
+    sig = two_clusters()[np.random.default_rng(8).permutation(80)]
+    a, b, _, found, there = small_world.linked(sig, np.array([80]), np.zeros(80, bool), 60)
+    assert there >= 8 * 79 and found >= 0.98 * there
+
+
+def test_truth_of_the_recall_is_all_points(spark):
+    """The truth does not depend on shards or on the size of its blocks."""
+    rng = random.Random(3)
+    rows = [(i, text(rng, 80)) for i in range(150)]
+    rows += [(200 + i, edited(rng, t, 30)) for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _, sig, _ = prints([t for _, t in rows])
+    points = spark.createDataFrame([(i, i, s.tobytes()) for (i, _), s in zip(rows, sig, strict=True)], "node long, rep long, sig binary")
+    want = sum(int((simhash.distance(s, sig) <= 60).sum()) - 1 for (i, _), s in zip(rows, sig, strict=True) if i % 50 == 0)
+    assert want and all(near_dups.true_links(points, 60, block).agg({"there": "sum"}).first()[0] == want for block in (2, 16_384))
+    assert near_dups.true_links(points.filter("rep = 1"), 60).count() == 0
