@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echofold.llm.common import stored
@@ -176,7 +176,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, beam: int = BEAM, hot: int = HOT) -> DataFrame:
-    """id, class_id (least id of the class), n_links (of its text, to other texts), n_copies (rows of its
+    """`labelled` without the labels and nodes."""
+    return labelled(docs, id_col, text_col, radius, beam, hot).drop("node", "label")
+
+
+def labelled(docs: DataFrame, id_col: str, text_col: str, radius: int = RADIUS, beam: int = BEAM, hot: int = HOT) -> DataFrame:
+    """node and label (of the text and its class), id, class_id (least id of the class), n_links (of its text, to other texts), n_copies (rows of its
     text), recall (links found of those exact search over all points finds, for texts whose least id is divisible
     by 50); one row per document."""
     rows = stored(fingerprinted(docs, id_col, text_col), "fingerprints")
@@ -192,21 +197,23 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rad
     named = points.select("node", "rep", "n_copies").join(labels, F.col("node") == F.col("l_node"), "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("rep").alias("class_id")).withColumnRenamed("label", "c_label")
     full = named.join(least, F.col("label") == F.col("c_label")).join(degree, F.col("node") == F.col("d_node"), "left")
-    full = full.select(F.col("node").alias("f_node"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    full = full.select(F.col("node").alias("f_node"), "label", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
     back = lambda c: F.when(F.col(c) < LAST, F.col(c))
-    return rows.join(full, F.col("node") == F.col("f_node")).select(back("id").alias("id"), back("class_id").alias("class_id"), "n_links", "n_copies", F.lit(float(recall)).alias("recall"))
+    return rows.join(full, F.col("node") == F.col("f_node")).select("node", "label", back("id").alias("id"), back("class_id").alias("class_id"), "n_links", "n_copies", F.lit(float(recall)).alias("recall"))
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
     return classes(docs, **options).withColumnRenamed("id", "doc_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs without their near-copies: of every class the row with the least id."""
-    found = classes(docs, id_col=id_col, **options)
-    kept: Column = F.coalesce(F.col("class_id"), F.lit(LAST))
-    ids = found.select(kept.alias("kept_id")).distinct()
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs without their near-copies: of every class the row with the least id, null ids last, and
+    then the least text hash."""
+    found = labelled(docs, id_col, text_col, **options)
+    order = F.struct(F.coalesce(F.col("id"), F.lit(LAST)).alias("kept_id"), F.col("node").alias("kept_node"))
+    kept = found.groupBy("label").agg(F.min(order).alias("kept")).select("kept.*")
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     own = docs.toDF(*at.values()).withColumn("own_id", F.coalesce(F.col(at[id_col]).cast("long"), F.lit(LAST)))
-    one = own.join(ids, F.col("own_id") == F.col("kept_id"), "left_semi").dropDuplicates(["own_id"])
+    own = own.withColumn("own_node", F.xxhash64(F.md5(F.coalesce(F.col(at[text_col]), F.lit("")))))
+    one = own.join(kept, (F.col("own_id") == F.col("kept_id")) & (F.col("own_node") == F.col("kept_node")), "left_semi").dropDuplicates(["own_id", "own_node"])
     return one.select(*[F.col(v).alias(k) for k, v in at.items()])

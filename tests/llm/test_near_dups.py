@@ -198,3 +198,10 @@ def test_truth_of_the_recall_is_all_points(spark):
     want = sum(int((simhash.distance(s, sig) <= 60).sum()) - 1 for (i, _), s in zip(rows, sig, strict=True) if i % 50 == 0)
     assert want and all(near_dups.true_links(points, 60, block).agg({"there": "sum"}).first()[0] == want for block in (2, 16_384))
     assert near_dups.true_links(points.filter("rep = 1"), 60).count() == 0
+
+
+def test_null_and_repeated_ids_keep_every_class(spark):
+    texts = [(None, "alone one"), (None, "other two"), (None, "third three"), (5, "fifth five"), (5, "fifth again"), (4, "fifth five"), (5, "fifth five")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    one = sorted(((r["doc_id"], r["text"]) for r in near_dups.one_of_each(docs).collect()), key=str)
+    assert one == sorted([(None, "alone one"), (None, "other two"), (None, "third three"), (4, "fifth five"), (5, "fifth again")], key=str)
