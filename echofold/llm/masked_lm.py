@@ -7,7 +7,7 @@ masked in turn; `mean_logp` divides it by the number of words.
 
 Vocabulary: the words of the whole corpus are counted; the most frequent get an id each, all others one
 of `BUCKETS` by their last bytes. Training: in each of `ROUNDS` rounds every partition runs Adagrad over
-every `STRIDE`-th position of all its texts from the common weights, and the weights are averaged,
+every position of all its texts from the common weights, and the weights are averaged,
 weighted by words, in a DataFrame aggregation (one row per 16 weights). Nothing is sampled by document,
 so what is counted and averaged grows with the corpus; what reaches the driver has the model's size.
 
@@ -36,7 +36,7 @@ from echofold.llm.vectext import HashTable, Slices, blocks, mixed, words
 CLASSES, IN_CLASS, BUCKETS = 32, 64, 128
 WORDS = CLASSES * IN_CLASS
 SIDE, VECTOR, HIDDEN = 2, 16, 32
-ROUNDS, STRIDE, BATCH, RATE, TRAINERS = 2, 7, 2048, 0.08, 2048
+ROUNDS, BATCH, RATE, TRAINERS = 2, 2048, 0.08, 2048
 _OFFSETS = [k for k in range(-SIDE, SIDE + 1) if k]
 _SHAPES = {"vectors": (WORDS + 1, VECTOR), "hidden": (len(_OFFSETS) * VECTOR + 1, HIDDEN), "classes": (HIDDEN + 1, CLASSES), "words": (WORDS, HIDDEN + 1)}
 
@@ -225,8 +225,7 @@ def trained(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", rounds:
             for b in batches:
                 for _, _, data, offsets in blocks(b.column(0)):
                     ids, row = tokens(data, offsets, table)
-                    at = np.arange(STRIDE // 2, len(ids), STRIDE) if len(ids) > STRIDE // 2 else np.arange(len(ids))
-                    trainer.add(ids[at], contexts(ids, row)[at])
+                    trainer.add(ids, contexts(ids, row))
             trainer.add(np.zeros(0, np.int64), np.zeros((0, len(_OFFSETS)), np.int64), last=True)
             if trainer.seen:
                 flat = np.zeros(n_rows * 16, np.float32)

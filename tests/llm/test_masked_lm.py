@@ -80,3 +80,25 @@ def test_prefers_what_it_has_seen(spark):
     assert better == 50
     assert got[5000]["n_tokens"] == 0 and got[5000]["log_likelihood"] == 0 and got[5001]["mean_logp"] is None and got[5002]["n_tokens"] == 1
     assert lm.pseudo_likelihood(docs.limit(0)).count() == 0
+
+
+def test_trains_on_every_position(spark, tmp_path, monkeypatch):
+    """Each round takes all words of all texts as targets."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(n))) for i, n in enumerate((1, 3, 8, 50))], "doc_id long, text string").coalesce(1)
+    vocab = lm.vocabulary(docs)
+    plain = lm.Trainer.add
+
+    def add(self, ids, ctx, last=False):
+        with open(tmp_path / "seen", "a") as f:
+            f.write(f"{len(ids)}\n")
+        plain(self, ids, ctx, last)
+
+    from pyspark import cloudpickle
+    import sys
+    cloudpickle.register_pickle_by_value(lm)
+    monkeypatch.setattr(lm.Trainer, "add", add)
+    try:
+        lm.trained(docs, vocab, rounds=1)
+    finally:
+        cloudpickle.unregister_pickle_by_value(sys.modules[lm.__name__])
+    assert sum(map(int, (tmp_path / "seen").read_text().split())) == 62
