@@ -5,15 +5,19 @@ documents give equal chunks wherever they stand. Every chunk a worker has not me
 its ids are kept by hash; later ones cost a look-up. Below the chunks lie pieces (a word, a mark, a line
 end), kept in the same way, since most text shares no chunk but all text shares words.
 
-Joins: cuts are moved to places where the pre-tokenizer separates whatever stands on either side (a lone
-space or line end between solid characters, or a letter or digit before a mark), so the ids of a text
-are the ids of its chunks in a row and the first re-encoding of a join must agree. Rows with wide
-Unicode spaces or added tokens give no such guarantee: `repaired` cuts them anywhere and re-encodes a
-window around each join, doubling it until its ids agree with both chunks on either side.
+Equality of hashes only finds a kept slice: its bytes are kept, too, and compared with the text each time.
+A row with a slice that differs from what its hash finds is encoded by itself.
 
-Equality of 64-bit slice hashes stands for equality of slices. The stores of a worker are emptied when
-they reach `STORE` ids, so memory is bounded whatever the corpus; nothing is shared between workers and
-nothing is lost with one. Tokens are those of the library's own encode, without truncation or padding.
+Joins are repaired: the pieces on both sides of every join of chunks are encoded again as one (each pair of
+pieces once) and must agree with the ids they have apart. Cuts lie where the pre-tokenizer separates
+whatever stands on either side (a lone space or line end between solid characters, or a letter or digit
+before a mark), so they do; a row with a join that does not agree, and rows with wide Unicode spaces or added
+tokens, take `repaired`, which cuts anywhere and encodes a growing window around each join again until its
+ids agree with both chunks.
+
+The stores of a worker are emptied when they reach `STORE` ids, so memory is bounded whatever the corpus;
+nothing is shared between workers and nothing is lost with one. Tokens are those of the library's own
+encode, without truncation or padding.
 
 Edge cases: null and empty texts have no ids (n_tokens 0, hashes of no bytes); very long texts are one
 block; repeated rows give equal rows; an empty table gives an empty result; only id and text are read.
@@ -32,14 +36,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echofold.llm.vectext import HashTable, Slices, blocks
+from echofold.llm.vectext import HashTable, Slices, blocks, mixed
 
 TOKENIZER = "byte_bpe_50k.json"
-WINDOW, MASK, STORE = 24, 31, 12_000_000
+WINDOW, MASK, STORE = 24, 127, 8_000_000
 _MARKS = np.zeros(256, bool)
 _MARKS[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 _ALNUM = np.zeros(256, bool)
 _ALNUM[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
+_LETTER = np.zeros(256, np.uint8)
+_LETTER[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = 1
+_BLANK = "\u0120"  # the byte-level sign of a blank
 _SAFE = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z])")
 _open: dict[str, Encoder] = {}
 
@@ -63,34 +70,60 @@ def encoder(path: str) -> Encoder:
     return _open[path]
 
 
-class Store:
-    """Slice hash -> ids."""
+class Ragged:
+    """Arrays of different lengths, one after the other, by number."""
 
-    def __init__(self) -> None:
-        self.table, self.ids = HashTable(), np.zeros(1 << 16, np.uint32)
+    def __init__(self, kind: type) -> None:
+        self.flat = np.zeros(1 << 16, kind)
         self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.used = 0
 
-    def add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        new = self.table.add(keys)
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.table.used > len(self.start):
+    def add(self, numbers: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while len(numbers) and numbers[-1] >= len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.start[new] = self.used + np.cumsum(sizes) - sizes
-        self.size[new] = sizes
-        self.used += len(ids)
-        return new
-
-    def full(self) -> bool:
-        return self.used > STORE or self.table.used > STORE // 6
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.start[numbers] = self.used + np.cumsum(sizes) - sizes
+        self.size[numbers] = sizes
+        self.used += len(flat)
 
     def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids in a row, ids of each number)."""
+        """(elements in a row, how many of each number)."""
         sizes = self.size[numbers]
-        first = np.repeat(self.start[numbers] - (np.cumsum(sizes) - sizes), sizes)
-        return self.ids[first + np.arange(len(first))], sizes
+        return sliced(self.flat, self.start[numbers], sizes), sizes
+
+
+def sliced(flat: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """flat[s : s + n] of all pairs, in a row."""
+    if len(start) and (start[1:] == start[:-1] + sizes[:-1]).all():
+        return flat[start[0] : start[-1] + sizes[-1]]
+    at = np.repeat(start - (np.cumsum(sizes) - sizes), sizes)
+    at += np.arange(len(at))
+    return flat[at]
+
+
+class Store:
+    """Slice -> ids: found by hash, and right only if the bytes agree, too."""
+
+    def __init__(self) -> None:
+        self.table, self.ids, self.raw = HashTable(), Ragged(np.uint32), Ragged(np.uint8)
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, raw: np.ndarray, lengths: np.ndarray) -> None:
+        new = self.table.add(keys)
+        self.ids.add(new, ids, sizes)
+        self.raw.add(new, raw, lengths)
+
+    def full(self) -> bool:
+        return self.ids.used > STORE or self.raw.used > 4 * STORE or self.table.used > STORE // 6
+
+    def agree(self, numbers: np.ndarray, data: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Whether the bytes kept under each number are those of the slice."""
+        ok = self.raw.size[numbers] == lengths
+        some = np.flatnonzero(ok)
+        wrong = np.flatnonzero(self.raw.gather(numbers[some])[0] != sliced(data, start[some], lengths[some]))
+        ok[some[np.searchsorted(np.cumsum(lengths[some]), wrong, "right")]] = False
+        return ok
 
 
 def firsts(keys: np.ndarray) -> np.ndarray:
@@ -110,8 +143,11 @@ class Encoder:
         plain = {v: k for k, v in self.tokenizer.get_vocab(with_added_tokens=False).items()}
         self.n_bytes = np.zeros(max(plain) + 2, np.int64)  # each character of a byte-level token is a byte
         self.n_bytes[list(plain)] = [len(t) for t in plain.values()]
-        self.pieces, self.chunks = Store(), Store()
-        self.made = 0  # chunks that were encoded, for tests
+        self.word_ids = self.tokenizer.model.tokenize
+        pre = self.tokenizer.pre_tokenizer
+        self.letters_alone = self.tokenizer.normalizer is None and pre is not None and [t for t, _ in pre.pre_tokenize_str("Ab cd")] == ["Ab", _BLANK + "cd"]
+        self.pieces, self.chunks, self.joins = Store(), Store(), HashTable()
+        self.made = self.seen = 0  # chunks that were encoded, and met
 
     def library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -153,75 +189,154 @@ class Encoder:
         cut[n] = False
         return np.flatnonzero(cut)
 
-    def piece_numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    def piece_numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers, whether the kept piece is this one)."""
         numbers = self.pieces.table.find(keys)
         missing = np.flatnonzero(numbers < 0)
         if len(missing):
             new = missing[firsts(keys[missing])]
-            ids, sizes = self.encode_pieces([data[s:e].tobytes() for s, e in zip(start[new].tolist(), end[new].tolist(), strict=True)])
-            self.pieces.add(keys[new], ids, sizes)
+            ids, sizes = self.encode_slices(data, start[new], end[new])
+            lengths = end[new] - start[new]
+            self.pieces.add(keys[new], ids, sizes, sliced(data, start[new], lengths), lengths)
             numbers[missing] = self.pieces.table.find(keys[missing])
-        return numbers
+        return numbers, self.pieces.agree(numbers, data, start, end - start)
 
-    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and their counts. Plain pieces go to the library as the lines of one text, which saves
-        a call for each; a line end between them separates them and is one token itself."""
-        plain = [i for i, p in enumerate(pieces) if p[-1] > 32 and (p[0] > 32 or (p[0] == 32 and len(p) > 1 and p[1] > 32))]
-        out: list[np.ndarray | None] = [None] * len(pieces)
-        if plain:
-            ids = np.array(self.library([b"\n".join([pieces[i] for i in plain]).decode()])[0], np.uint32)
+    @staticmethod
+    def lines(data: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> str:
+        """The slices, a line each."""
+        goal = np.cumsum(lengths + 1) - 1
+        text = np.full(goal[-1] + 1, 10, np.uint8)
+        text[np.repeat(goal - np.cumsum(lengths), lengths) + np.arange(lengths.sum())] = sliced(data, start, lengths)
+        return text[:-1].tobytes().decode()
+
+    def encode_slices(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids in a row and their counts. Plain slices go to the library as the lines of one text, which saves
+        a call for each; a line end between them separates them and is one token itself. Slices of letters
+        behind one blank at most are one pre-token and go to the library's model at once."""
+        lengths = end - start
+        counts = np.zeros(len(start), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []  # (numbers of slices, their ids in a row)
+        first, second, last = data[start], data[np.minimum(start + 1, end - 1)], data[end - 1]
+        letters = np.add.reduceat(_LETTER[sliced(data, start, lengths)], np.cumsum(lengths) - lengths, dtype=np.int64) if len(start) else lengths
+        word = letters + (first == 32) == lengths if self.letters_alone else np.zeros(len(start), bool)
+        word &= letters > 0
+        if word.any():
+            some = np.flatnonzero(word)
+            each = [[t.id for t in self.word_ids(w)] for w in self.lines(data, start[some], lengths[some]).replace(" ", _BLANK).split("\n")]
+            counts[some] = [len(x) for x in each]
+            found.append((some, np.fromiter((i for x in each for i in x), np.uint32, counts[some].sum())))
+        plain = np.flatnonzero(~word & (last > 32) & ((first > 32) | ((first == 32) & (lengths > 1) & (second > 32))))
+        if len(plain):
+            goal = np.cumsum(lengths[plain] + 1) - 1
+            ids = np.array(self.library([self.lines(data, start[plain], lengths[plain])])[0], np.uint32)
             ends = np.cumsum(self.n_bytes[ids])
-            goal = np.cumsum([len(pieces[i]) + 1 for i in plain])
-            at = np.searchsorted(ends, goal - 1)
-            if (ends[at] == goal - 1).all() and (ids[at[:-1] + 1] == ids[at[0] + 1 : at[0] + 2]).all():
-                first = np.concatenate([[0], at[:-1] + 2])
-                for i, a, b in zip(plain, first.tolist(), (at + 1).tolist(), strict=True):
-                    out[i] = ids[a:b]
-        rest = [i for i, x in enumerate(out) if x is None]
-        if rest:
-            for i, x in zip(rest, self.library([pieces[i].decode() for i in rest]), strict=True):
-                out[i] = np.array(x, np.uint32)
-        return np.concatenate(out), np.array([len(x) for x in out], np.int64)
+            at = np.searchsorted(ends, goal)
+            between = at[:-1] + 1
+            if at[-1] < len(ends) and (ends[at] == goal).all() and (ids[between] == ids[between[:1]]).all():
+                counts[plain] = np.diff(at, prepend=-2) - 1
+                counts[plain[0]] = at[0] + 1
+                inside = np.ones(len(ids), bool)
+                inside[between] = False
+                found.append((plain, ids[inside]))
+        rest = np.setdiff1d(np.arange(len(start)), np.concatenate([x for x, _ in found]) if found else [])
+        if len(rest):
+            each = self.library([data[s:e].tobytes().decode() for s, e in zip(start[rest].tolist(), end[rest].tolist(), strict=True)])
+            counts[rest] = [len(x) for x in each]
+            found.append((rest, np.array([i for x in each for i in x], np.uint32)))
+        if len(found) == 1:
+            return found[0][1], counts
+        before = np.cumsum(counts) - counts
+        out = np.zeros(counts.sum(), np.uint32)
+        for numbers, ids in found:
+            n = counts[numbers]
+            out[np.repeat(before[numbers] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = ids
+        return out, counts
 
     def encode_block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows in a row, ids of each row)."""
         n_rows = len(offsets) - 1
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(n_rows, np.int64)
-        for which in ("pieces", "chunks"):
-            if getattr(self, which).full():
-                setattr(self, which, Store())
-        odd = self.odd_rows(data, offsets)
+        if self.pieces.full():  # joins go by the numbers of pieces
+            self.pieces, self.joins = Store(), HashTable()
+        if self.chunks.full():
+            self.chunks = Store()
         slices = Slices(data)
         start = self.piece_starts(data, offsets)
         end = np.append(start[1:], len(data))
         row = np.searchsorted(offsets, start, "right") - 1
         roll = slices.hashes(np.maximum(start - WINDOW, offsets[row]), start)
         cut = np.flatnonzero(((roll & np.uint64(MASK)) == 0) | (start == offsets[row]))
-        c_start, c_end = start[cut], np.append(start[cut[1:]], len(data))
+        c_start, c_end, c_row = start[cut], np.append(start[cut[1:]], len(data)), row[cut]
+        plain = np.ones(n_rows, bool)
+        plain[self.odd_rows(data, offsets)] = False
+        numbers = self.chunk_numbers(data, slices, start, end, cut, c_start, c_end, plain[c_row])
+        good = (numbers >= 0) & plain[c_row]
+        good[good] = self.chunks.agree(numbers[good], data, c_start[good], (c_end - c_start)[good])
+        plain[c_row[~good]] = False  # two slices of one hash: as rare as it may be, the row is encoded by itself
+        joint = np.flatnonzero(plain[c_row] & (c_start != offsets[c_row]))
+        plain[c_row[joint[~self.joins_agree(data, slices, start, end, cut[joint])]]] = False
+        if plain.all():
+            ids, sizes = self.chunks.ids.gather(numbers)
+            return ids, np.bincount(c_row, sizes, n_rows).astype(np.int64)
+        ids, sizes = self.chunks.ids.gather(numbers[plain[c_row]])
+        counts = np.bincount(c_row[plain[c_row]], sizes, n_rows).astype(np.int64)
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        for i in np.flatnonzero(~plain).tolist():
+            parts[i] = np.array(self.repaired(data[offsets[i] : offsets[i + 1]].tobytes().decode()), np.uint32)
+        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+
+    def chunk_numbers(self, data: np.ndarray, slices: Slices, start: np.ndarray, end: np.ndarray, cut: np.ndarray, c_start: np.ndarray, c_end: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Numbers of the chunks, those not met before being encoded from their pieces; -1 for what is not
+        wanted or has a piece that cannot be trusted."""
         keys = slices.hashes(c_start, c_end)
         numbers = self.chunks.table.find(keys)
-        missing = np.flatnonzero(numbers < 0)
-        missing = missing[~np.isin(row[cut[missing]], odd)]
+        self.seen += len(keys)
+        missing = np.flatnonzero((numbers < 0) & wanted)
         if len(missing):
             new = missing[firsts(keys[missing])]
             self.made += len(new)
-            piece_end = np.append(cut[1:], len(start))
-            counts = piece_end[new] - cut[new]
-            mine = np.repeat(cut[new] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-            ids, sizes = self.pieces.gather(self.piece_numbers(data, start[mine], end[mine], slices.hashes(start[mine], end[mine])))
-            self.chunks.add(keys[new], ids, np.add.reduceat(sizes, np.cumsum(counts) - counts))
-            numbers[missing] = self.chunks.table.find(keys[missing])
-        if not len(odd):
-            ids, sizes = self.chunks.gather(numbers)
-            return ids, np.bincount(row[cut], sizes, n_rows).astype(np.int64)
-        even = ~np.isin(row[cut], odd)
-        ids, sizes = self.chunks.gather(numbers[even])
-        counts = np.bincount(row[cut[even]], sizes, n_rows).astype(np.int64)
-        parts = np.split(ids, np.cumsum(counts)[:-1])
-        for i in odd.tolist():
-            parts[i] = np.array(self.repaired(data[offsets[i] : offsets[i + 1]].tobytes().decode()), np.uint32)
-        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+            counts = np.append(cut[1:], len(start))[new] - cut[new]
+            first = np.cumsum(counts) - counts
+            mine = np.repeat(cut[new] - first, counts) + np.arange(counts.sum())
+            piece, right = self.piece_numbers(data, start[mine], end[mine], slices.hashes(start[mine], end[mine]))
+            if not right.all():
+                sure = np.logical_and.reduceat(right, first)
+                piece, new, counts = piece[np.repeat(sure, counts)], new[sure], counts[sure]
+                first = np.cumsum(counts) - counts
+            if len(new):
+                ids, sizes = self.pieces.ids.gather(piece)
+                lengths = c_end[new] - c_start[new]
+                self.chunks.add(keys[new], ids, np.add.reduceat(sizes, first), sliced(data, c_start[new], lengths), lengths)
+                numbers[missing] = self.chunks.table.find(keys[missing])
+        return numbers
+
+    def joins_agree(self, data: np.ndarray, slices: Slices, start: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether the pieces on both sides of each join (before piece `at`), encoded again as one, keep the ids
+        they have apart. A pair of pieces is encoded once, wherever it joins chunks."""
+        if not len(at):
+            return np.zeros(0, bool)
+        both = np.concatenate([at - 1, at])
+        piece, right = self.piece_numbers(data, start[both], end[both], slices.hashes(start[both], end[both]))
+        left, after = piece[: len(at)], piece[len(at) :]
+        code = mixed(left.astype(np.uint64) << np.uint64(32) | after.astype(np.uint64))
+        known = self.joins.find(code) >= 0
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            new = fresh[firsts(code[fresh])]
+            a, b = at[new] - 1, at[new]
+            ids, sizes = self.encode_slices(data, start[a], end[b])
+            pair = np.stack([left[new], after[new]], 1).reshape(-1)
+            apart, n = self.pieces.ids.gather(pair)
+            n = n.reshape(-1, 2).sum(1)
+            same = sizes == n
+            some = np.flatnonzero(same)
+            ends, others = np.cumsum(sizes) - sizes, np.cumsum(n) - n
+            wrong = np.flatnonzero(sliced(ids, ends[some], sizes[some]) != sliced(apart, others[some], n[some]))
+            same[some[np.searchsorted(np.cumsum(n[some]), wrong, "right")]] = False
+            self.joins.add(code[new[same]])
+            known = self.joins.find(code) >= 0
+        return known & right[: len(at)] & right[len(at) :]
 
     def repaired(self, text: str, window: int = 32, size: int = 1024) -> list[int]:
         """Ids by chunks of about `size` characters, cut anywhere, their joins re-encoded until they agree.

@@ -1,8 +1,10 @@
 """Text as byte arrays: Arrow string columns cut into words or pre-tokens and hashed with NumPy.
 
-A prefix sum of `byte * R^place` modulo 2^64 gives the polynomial hash of any slice in constant time,
-so a batch is hashed without making a Python string per word. Batches are cut into blocks of a few MB
-at row ends, which bounds memory whatever the Arrow batch holds; one text longer than a block is a block.
+Prefix sums of `byte * base^place` modulo the prime 2^31 - 1, for two bases, give a 62-bit polynomial hash
+of any slice in constant time, so a batch is hashed without making a Python string per word. (Modulo 2^64
+such sums are equal for Thue-Morse words of every base; modulo a prime they are not.) Batches are cut into
+blocks of a few MB at row ends, which bounds memory whatever the Arrow batch holds; one text longer than a
+block is a block.
 """
 
 from __future__ import annotations
@@ -12,23 +14,35 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-R = np.uint64(0x9E3779B97F4A7C15 | 1)
-R_INVERSE = np.uint64(pow(int(R), -1, 1 << 64))
+PRIME = (1 << 31) - 1
+BASES = (1_229_782_938, 1_747_291_913)
 BLOCK = 2 << 20
-_powers: list[np.ndarray] = []
+#: Up to so many bytes a prefix sum of unreduced terms stays below 2^64.
+UNREDUCED = 1 << 24
+_powers: dict[int, np.ndarray] = {}
 
 
-def _ladder(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME."""
+    p, bits = np.uint64(PRIME), np.uint64(31)
+    x = (x & p) + (x >> bits)
+    x = (x & p) + (x >> bits)
+    return np.where(x >= p, x - p, x)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
+def powers(base: int, n: int) -> np.ndarray:
+    """base^0 .. base^(n - 1) modulo PRIME; kept and grown by doubling."""
+    held = _powers.get(base)
+    if held is None or len(held) < n:
         size = max(n, BLOCK + (1 << 16))
-        _powers[:] = [_ladder(R, size), _ladder(R_INVERSE, size)]
-    return _powers[0][:n], _powers[1][:n]
+        out = np.ones(size, np.uint64)
+        k = 1
+        while k < size:
+            m = min(k, size - k)
+            out[k : k + m] = reduced(out[:m] * np.uint64(pow(base, k, PRIME)))
+            k += m
+        held = _powers[base] = out.astype(np.uint32)
+    return held[:n]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -44,13 +58,18 @@ class Slices:
     """Hashes of slices of one byte array."""
 
     def __init__(self, data: np.ndarray):
-        pw, self.inverse = powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * pw[:-1], out=self.sums[1:])
+        self.sums, self.inverse = [], []
+        wide = data.astype(np.uint64) + np.uint64(1)
+        for base in BASES:
+            term = wide * powers(base, len(data))
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(reduced(term) if len(data) > UNREDUCED else term, out=sums[1:])
+            self.sums.append(sums)
+            self.inverse.append(powers(pow(base, -1, PRIME), len(data) + 1))
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        raw = (self.sums[end] - self.sums[start]) * self.inverse[start]
-        return mixed(raw + (end - start).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+        a, b = (reduced(reduced(s[end] - s[start]) * i[start]) for s, i in zip(self.sums, self.inverse, strict=True))
+        return mixed((a << np.uint64(32) | b) + (end - start).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
 
 def blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
