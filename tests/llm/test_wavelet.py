@@ -59,3 +59,34 @@ def test_shards_in_order(spark):
     want = sorted((str(i), len(ids[t]), zlib.crc32(np.array(ids[t], "<u4").tobytes())) for i, t in rows)
     assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_crc32"]) for r in got) == want
     assert wavelet.stored_tokens(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("shard_ids", [50, 4_000_000])
+def test_look_ups_over_all_shards(spark, tmp_path, shard_ids):
+    rows = [(i, f"words of text {i % 7} and more " * (1 + i % 5)) for i in range(60)] + [(3, "words"), (None, None), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    shards = wavelet.write_shards(docs, f"file://{tmp_path}/shards", shard_ids=shard_ids)
+    ordered = []
+    for file, _, _ in shards.select("file", "part", "number").orderBy("part", "number").collect():
+        ordered += wavelet.opened_file(file)[3].all().tolist()
+    asked = spark.range(-1, len(ordered) + 3, 7).selectExpr("id AS position")
+    assert dict(map(tuple, wavelet.access(shards, asked, span=64).collect())) == {i: ordered[i] for i in range(-1, len(ordered), 7) if i >= 0}
+    tokens = [0, ordered[0], 50256, 1 << 20]
+    assert dict(map(tuple, wavelet.count(shards, tokens).collect())) == {t: ordered.count(t) for t in tokens}
+    found = sorted(map(tuple, wavelet.occurrences(shards, tokens).collect()))
+    assert found == sorted((t, i) for t in tokens for i, x in enumerate(ordered) if x == t)
+
+
+def test_a_look_up_reads_part_of_the_file():
+    ids = np.random.default_rng(3).integers(0, 50_000, 2_000_000).astype(np.uint32)
+    raw = wavelet.to_bytes(np.arange(1), np.zeros(1), np.array([len(ids)]), ids)
+    read = []
+    matrix = wavelet.opened(lambda at, n: read.append(n) or raw[at : at + n])[3]
+    assert [matrix.access(i) for i in (0, 1_234_567)] == [ids[0], ids[1_234_567]]
+    assert sum(read) < 0.6 * len(raw)
+
+
+def test_unknown_file_systems_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    with pytest.raises(Exception):
+        wavelet.write_shards(docs, "nowhere://host/folder")
