@@ -5,21 +5,24 @@
    Points of a key held by more than `HOT` are split by salts; a shard holds those of two salts, every
    two salts have one, so all points of the key meet at every size, about `HOT` in a shard.
 3. In a shard each key's points form a navigable small-world graph; every point is sent as a query with
-   a beam that expands while all of it lies within the radius and where an audit against exact search
-   finds too little; past the widest beam search is exact (`small_world.linked`).
-4. Links within `RADIUS` bits (checked on the whole SimHashes) are united by connected components:
-   labels go to the least neighbour and jump along themselves until nothing changes.
+   a beam that expands where an audit against exact search finds too little. A point whose beam is full
+   within the radius, and what the widest beam leaves, is compared with its whole shard
+   (`small_world.linked`), so no density of near copies loses a link.
+4. Links within `RADIUS` bits (checked on the whole SimHashes) count in the shard of the first key a pair
+   shares, so none is counted twice or shuffled: a shard tells how many links a point has and about one
+   edge a point that connects what the links connect. Edges are united by connected components: labels
+   go to the least neighbour and jump along themselves until nothing changes.
 Links are between different texts; copies of a text are members of its point and never form pairs.
 
 Measured distances: near copies with one word in thirty changed lie around 34 of 256 bits, copies of
 short texts up to 60, unrelated texts above 70; RADIUS lies in the gap.
 
-Scale: no text is shuffled; a shard row is a hash, a key and 32 bytes. A key with one point leaves before
+Scale: no text is shuffled; a shard row is a hash, a key and 128 bytes. A key with one point leaves before
 the graphs. Graph search costs about the beam times log of the shard's points and grows with the links
 there are; a point of a hot key of n points is in 2 n / `HOT` shards. Every
 round of labels is a written table, so a lost executor costs its tasks only. Nothing is collected but
-the number of changed labels. The recall audit compares every 50th text with all, so it grows as the square
-of the texts.
+the number of changed labels. The recall audit of the query compares every 50th text with all, in blocks, so
+it grows as the square of the texts; the pipeline's stage leaves it out.
 
 Edge cases: null, empty and wordless texts have no feature and are alike only if equal (null is empty);
 repeated rows of an id count as copies; null ids take part and are never preferred as the kept one;
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 
 from echofold.llm.common import stored
 from echofold.llm.simhash import fingerprints
-from echofold.llm.small_world import linked, pairwise, shuffled_order
+from echofold.llm.small_world import Meeting, linked, pairwise, shuffled_order
 from echofold.llm.vectext import blocks
 
 RADIUS, BEAM, HOT = 60, 16, 20_000
@@ -56,55 +59,65 @@ def fingerprinted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for _, _, data, offsets in blocks(b.column(2)):
                 n, s, k = fingerprints(data, offsets)
                 sigs += [x.tobytes() for x in s]
-                keys += [row.view(np.int64) if c else None for row, c in zip(k, n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "node", "sig", "keys"])
+                keys += [row.tobytes() if c else None for row, c in zip(k, n.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sigs, pa.binary()), pa.array(keys, pa.binary())], ["id", "node", "sig", "keys"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(F.md5(text)).alias("node"), text.alias("text"))
-    return own.mapInArrow(run, "id long, node long, sig binary, keys array<long>")
+    return own.mapInArrow(run, "id long, node long, sig binary, keys binary")
 
 
 def shard_links(rows: DataFrame, radius: int, beam: int) -> DataFrame:
-    """(key, node, rep, sig), at least two rows a key -> (a, b, bits) links."""
+    """(key, place, salt, node, sig, keys), at least two rows a key -> (a, b, n): n links of point a where b is
+    null, else an edge of a and b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def graphs(key: np.ndarray, node: np.ndarray, rep: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
+        def graphs(key: np.ndarray, place: np.ndarray, salt: np.ndarray, node: np.ndarray, sig: np.ndarray, marks: np.ndarray) -> pa.RecordBatch:
             order = shuffled_order(key, node)
-            key, node, rep, sig = key[order], node[order], rep[order], sig[order]
+            key, place, salt, node, sig, marks = (x[order] for x in (key, place, salt, node, sig, marks))
             size = np.diff(np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)))
-            a, b, bits, _, _ = linked(sig, size, rep % 50 == 0, radius, beam)
-            lo, hi = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
-            _, once = np.unique(np.stack([lo, hi]), axis=1, return_index=True) if len(lo) else (None, np.zeros(0, np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(x[once].astype(np.int64)) for x in (lo, hi, bits)], ["a", "b", "bits"])
+            found = linked(sig, size, radius, Meeting(marks, place, salt, size), beam)
+            some = np.flatnonzero(found.counts)
+            points, back = np.unique(node[some], return_inverse=True)
+            a, b = found.pairs()
+            none = np.zeros(len(points), np.int64)
+            cols = [
+                pa.array(np.concatenate([points, node[a]])),
+                pa.array(np.concatenate([none, node[b]]), mask=np.arange(len(points) + len(a)) < len(points)),
+                pa.array(np.concatenate([np.bincount(back, found.counts[some], len(points)).astype(np.int64), np.zeros(len(a), np.int64)])),
+            ]
+            return pa.RecordBatch.from_arrays(cols, ["a", "b", "n"])
 
         for batch in batches:  # keys ascend; all but the last key of what has come are complete
             if not batch.num_rows:
                 continue
-            key, node, rep = (np.array(batch.column(i)) for i in range(3))
-            sig = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, 4)
-            held.append((key, node, rep, sig))
-            if held[0][0][0] != key[-1]:
-                key, node, rep, sig = (np.concatenate([h[i] for h in held]) for i in range(4))
-                cut = int(np.searchsorted(key, key[-1]))
-                if cut > 50_000 or len(key) - cut > 50_000:
-                    yield graphs(key[:cut], node[:cut], rep[:cut], sig[:cut])
-                    held = [(key[cut:], node[cut:], rep[cut:], sig[cut:])]
-                else:
-                    held = [(key, node, rep, sig)]
+            flat = [np.array(batch.column(i)) for i in range(4)]
+            sig = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(-1, 4)
+            marks = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.int64).reshape(len(sig), -1)
+            held.append((*flat, sig, marks))
+            if held[0][0][0] != flat[0][-1]:
+                all_ = [np.concatenate([h[i] for h in held]) for i in range(6)]
+                cut = int(np.searchsorted(all_[0], flat[0][-1]))
+                if cut > 50_000 or len(all_[0]) - cut > 50_000:
+                    yield graphs(*(x[:cut] for x in all_))
+                    all_ = [x[cut:] for x in all_]
+                held = [tuple(all_)]
         if held:
-            yield graphs(*(np.concatenate([h[i] for h in held]) for i in range(4)))
+            yield graphs(*(np.concatenate([h[i] for h in held]) for i in range(6)))
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = rows.select("key", "node", "rep", "sig").repartition(n, "key").sortWithinPartitions("key")
-    return spread.mapInArrow(run, "a long, b long, bits long")
+    spread = rows.select("key", "place", "salt", "node", "sig", "keys").repartition(n, "key").sortWithinPartitions("key")
+    return spread.mapInArrow(run, "a long, b long, n long")
 
 
 def shard_rows(points: DataFrame, hot: int) -> DataFrame:
-    """(node, rep, sig, keys) -> (key, node, rep, sig), keys of one point left out and hot keys split by salts,
-    every two of which meet."""
-    each = points.select("node", "rep", "sig", F.posexplode("keys").alias("i", "k")).select(F.xxhash64("i", "k").alias("key"), "node", "rep", "sig")
+    """(node, sig, keys) -> (key, place, salt, node, sig, keys), keys of one point left out and hot keys split by
+    salts, every two of which meet."""
+    at = F.explode(F.sequence(F.lit(0), (F.length("keys") / 8).cast("int") - 1))
+    each = points.select("node", "sig", "keys", at.alias("place"))
+    each = each.select(F.xxhash64("place", F.substring("keys", F.col("place") * 8 + 1, F.lit(8))).alias("key"), F.col("place").cast("long").alias("place"), F.lit(0).cast("long").alias("salt"), "node", "sig", "keys")
     counts = stored(each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key-counts")
     named = counts.select(F.col("key").alias("c_key"), "n")
     # both sides are shuffled at every size: the keys that are left grow with the rows
@@ -112,11 +125,11 @@ def shard_rows(points: DataFrame, hot: int) -> DataFrame:
     if not counts.filter(F.col("n") > hot).take(1):
         return met
     # a hot key's points get salts of about hot / 2 points; those of every two salts meet in one shard
-    salts = F.ceil(F.col("n") * 2 / hot).cast("int")
+    salts = F.ceil(F.col("n") * 2 / hot).cast("long")
     crowded = each.join(named.filter(F.col("n") > hot), F.col("key") == F.col("c_key")).withColumn("salts", salts)
-    mine = F.pmod(F.xxhash64(F.lit(HOT_SALT), "node"), "salts").cast("int")
-    pairs = crowded.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    pairs = pairs.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "node", "rep", "sig")
+    pairs = crowded.withColumn("salt", F.pmod(F.xxhash64(F.lit(HOT_SALT), "node"), "salts"))
+    pairs = pairs.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    pairs = pairs.select(F.xxhash64("key", F.least("salt", "other"), F.greatest("salt", "other")).alias("key"), "place", "salt", "node", "sig", "keys")
     return met.unionByName(pairs)
 
 
@@ -180,26 +193,27 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rad
     return labelled(docs, id_col, text_col, radius, beam, hot).drop("node", "label")
 
 
-def labelled(docs: DataFrame, id_col: str, text_col: str, radius: int = RADIUS, beam: int = BEAM, hot: int = HOT) -> DataFrame:
+def labelled(docs: DataFrame, id_col: str, text_col: str, radius: int = RADIUS, beam: int = BEAM, hot: int = HOT, audit: bool = True) -> DataFrame:
     """node and label (of the text and its class), id, class_id (least id of the class), n_links (of its text, to other texts), n_copies (rows of its
     text), recall (links found of those exact search over all points finds, for texts whose least id is divisible
-    by 50); one row per document."""
+    by 50; null without `audit`); one row per document."""
     rows = stored(fingerprinted(docs, id_col, text_col), "fingerprints")
     points = stored(rows.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"), F.first("sig").alias("sig"), F.first("keys").alias("keys")), "points")
     made = stored(shard_links(shard_rows(points.filter("keys IS NOT NULL"), hot), radius, beam), "links")
-    edges = stored(made.groupBy("a", "b").agg(F.min("bits").alias("bits")), "verified")
-    degree = edges.select(F.explode(F.array("a", "b")).alias("d_node")).groupBy("d_node").agg(F.count("*").alias("n_links"))
-    there = true_links(points.filter("keys IS NOT NULL"), radius).agg(F.sum("there")).first()[0]
-    asked = points.filter("rep % 50 = 0").select("node")
-    found = degree.join(asked, F.col("d_node") == F.col("node")).agg(F.sum("n_links")).first()[0] if there else 0
-    recall = (found or 0) / there if there else 1.0
-    labels = components(edges).select(F.col("node").alias("l_node"), "label")
+    degree = stored(made.filter("b IS NULL").groupBy(F.col("a").alias("d_node")).agg(F.sum("n").alias("n_links")), "degrees")
+    recall = F.lit(None).cast("double")
+    if audit:
+        there = true_links(points.filter("keys IS NOT NULL"), radius).agg(F.sum("there")).first()[0]
+        asked = points.filter("rep % 50 = 0").select("node")
+        found = degree.join(asked, F.col("d_node") == F.col("node")).agg(F.sum("n_links")).first()[0] if there else 0
+        recall = F.lit(float((found or 0) / there if there else 1.0))
+    labels = components(made.filter("b IS NOT NULL").select("a", "b")).select(F.col("node").alias("l_node"), "label")
     named = points.select("node", "rep", "n_copies").join(labels, F.col("node") == F.col("l_node"), "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("rep").alias("class_id")).withColumnRenamed("label", "c_label")
     full = named.join(least, F.col("label") == F.col("c_label")).join(degree, F.col("node") == F.col("d_node"), "left")
     full = full.select(F.col("node").alias("f_node"), "label", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
     back = lambda c: F.when(F.col(c) < LAST, F.col(c))
-    return rows.join(full, F.col("node") == F.col("f_node")).select("node", "label", back("id").alias("id"), back("class_id").alias("class_id"), "n_links", "n_copies", F.lit(float(recall)).alias("recall"))
+    return rows.join(full, F.col("node") == F.col("f_node")).select("node", "label", back("id").alias("id"), back("class_id").alias("class_id"), "n_links", "n_copies", recall.alias("recall"))
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
@@ -209,7 +223,7 @@ def report(docs: DataFrame, **options) -> DataFrame:
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs without their near-copies: of every class the row with the least id, null ids last, and
     then the least text hash."""
-    found = labelled(docs, id_col, text_col, **options)
+    found = labelled(docs, id_col, text_col, audit=False, **options)
     order = F.struct(F.coalesce(F.col("id"), F.lit(LAST)).alias("kept_id"), F.col("node").alias("kept_node"))
     kept = found.groupBy("label").agg(F.min(order).alias("kept")).select("kept.*")
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}

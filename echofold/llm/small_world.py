@@ -108,27 +108,14 @@ class SmallWorld:
         d = distance(self.sig[query][:, None, :], self.sig[points])
         return d.astype(np.uint64) << np.uint64(41) | points.astype(np.uint64) << np.uint64(1) | np.uint64(1)
 
-    def exact(self, query: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """All other points of the query's group within the radius, nearest first."""
-        _, hit, d = self.exact_all(int(self.group[query]), np.array([query]), radius)
-        order = np.lexsort((hit, d))
-        return hit[order], d[order]
-
-    def exact_all(self, g: int, query: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(from, to, distance) of all pairs of these points of group g with others of it within the radius."""
+    def exact_counts(self, g: int, query: np.ndarray, radius: int) -> np.ndarray:
+        """How many other points of group g are within the radius of each of these points of it."""
         a, b = int(self.first[g]), int(self.first[g] + self.size[g])
-        parts = []
-        step = max(1, 2_000_000 // max(1, b - a))
-        for k in range(0, len(query), step):
-            q = query[k : k + step]
-            d = pairwise(self.sig[q], self.sig[a:b])
-            d[np.arange(len(q)), q - a] = FAR_BITS
-            i, j = np.nonzero(d <= radius)
-            parts.append((q[i], j + a, d[i, j].astype(np.int64)))
-        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+        step = max(1, PAIRS // max(1, b - a))
+        return np.concatenate([(pairwise(self.sig[query[k : k + step]], self.sig[a:b]) <= radius).sum(1) - 1 for k in range(0, len(query), step)])
 
 
-FAR_BITS, LEAST = 1000, 8
+LEAST, SMALL, PAIRS = 8, 32, 2_000_000
 
 
 def pairwise(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -139,46 +126,148 @@ def pairwise(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def linked(sig: np.ndarray, size: np.ndarray, audited: np.ndarray, radius: int, beam: int = 16, widest: int = 256, target: float = 0.98) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
-    """(from, to, distance, found, there): links within the radius found by searching from every point.
-    A point whose beam is full of points within the radius may have more of them and is searched again
-    with twice the beam. The audit compares the `audited` points, and `LEAST` of every group with so many,
-    with all that exact search finds; below the target the points of the group get twice the beam, too. Past
-    `widest` exact search takes what is left."""
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    found = there = 0
-    world = SmallWorld(sig, size, max(beam, 2 * OUT))
-    rank = np.arange(len(sig)) - world.first[world.group]
-    some = rank % np.maximum(1, size // LEAST)[world.group] == 0  # groups are shuffled
-    asked = np.flatnonzero((audited | some) & (size > ROOTS)[world.group])  # of a smaller group every point is met
-    truth = np.full(len(sig), -1, np.int64)
+class Meeting:
+    """Where a pair of points counts: in the group of the first key they share, and of a key split by salts in the
+    group of both their salts. marks: (n, keys) the keys of a point; place: which of them its group is of."""
+
+    def __init__(self, marks: np.ndarray, place: np.ndarray, salt: np.ndarray, size: np.ndarray):
+        first = np.cumsum(size) - size
+        self.marks, self.place, self.salt = marks, place, salt
+        low, high = (f.reduceat(salt, first) if len(size) else salt for f in (np.minimum, np.maximum))
+        self.across = np.repeat(low != high, size)
+
+    @classmethod
+    def anywhere(cls, size: np.ndarray) -> Meeting:
+        n = int(size.sum())
+        return cls(np.zeros((n, 1), np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), size)
+
+    def here(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of pairs of one group, given as arrays that broadcast."""
+        ok = ~self.across[a] | (self.salt[a] != self.salt[b])
+        for k in range(int(self.place[a].max(initial=0))):
+            ok = ok & ((self.marks[a, k] != self.marks[b, k]) | (k >= self.place[a]))
+        return ok
+
+
+class Links:
+    """Of n points: how many links each has, and edges that connect what the links connect. A link is told once.
+    Points take the least label they are linked to, each time an edge; links between labels that still
+    differ then are edges, too. So a family of n points has about n edges, whatever its links."""
+
+    def __init__(self, n: int):
+        self.counts, self.label = np.zeros(n, np.int64), np.arange(n)
+        self.edges: list[np.ndarray] = []
+
+    def _edge(self, a: np.ndarray, b: np.ndarray) -> None:
+        lo, hi = np.minimum(a, b), np.maximum(a, b)
+        apart = lo != hi
+        if apart.any():
+            self.edges.append(np.unique(lo[apart] * len(self.label) + hi[apart]))
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Links as lists."""
+        self.counts += np.bincount(a, minlength=len(self.counts)) + np.bincount(b, minlength=len(self.counts))
+        lo, hi = np.minimum(a, b), np.maximum(a, b)
+        least = self.label.copy()
+        np.minimum.at(least, hi, self.label[lo])
+        moved = np.flatnonzero(least != self.label)
+        self._edge(moved, least[moved])
+        self.label = least
+        self._edge(least[lo], least[hi])
+
+    def add_block(self, rows: np.ndarray, first: int, mask: np.ndarray) -> None:
+        """Links of some points with the points from `first` on, as a matrix."""
+        cols = np.arange(first, first + mask.shape[1])
+        self.counts[rows] += mask.sum(1)
+        self.counts[cols] += mask.sum(0)
+        none = np.int64(len(self.label))
+        for points, axis in ((rows, 1), (cols, 0)):
+            other = self.label[cols][None, :] if axis else self.label[rows][:, None]
+            least = np.minimum(self.label[points], np.where(mask, other, none).min(axis, initial=none))
+            self._edge(points, np.where(least < self.label[points], least, points))
+            self.label[points] = least
+        i, j = np.nonzero(mask & (self.label[rows][:, None] != self.label[cols][None, :]))
+        self._edge(self.label[rows[i]], self.label[cols[j]])
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        code = np.unique(np.concatenate(self.edges)) if self.edges else np.zeros(0, np.int64)
+        return code // len(self.label), code % len(self.label)
+
+
+def linked(sig: np.ndarray, size: np.ndarray, radius: int, meeting: Meeting | None = None, beam: int = 16, widest: int = 256, target: float = 0.995) -> Links:
+    """The links within the radius between points of a group, the groups lying one after the other.
+
+    Groups of up to `SMALL` points are compared whole. In the others every point is a query to the graph.
+    Some points of each group are audited with exact search; while a group finds less than `target` of that,
+    its points get twice the beam. A point whose beam is full of points within the radius may have more of
+    them: it is compared with its whole group, as is what the `widest` beam leaves below the target."""
+    out = Links(len(sig))
+    meeting = meeting or Meeting.anywhere(size)
+    first = np.cumsum(size) - size
+    group = np.repeat(np.arange(len(size)), size)
+    _small(sig, size, first, group, radius, meeting, out)
+    large = np.flatnonzero(size > SMALL)
+    if not len(large):
+        return out
+    at = np.flatnonzero((size > SMALL)[group])  # place of the world's points among all
+    world = SmallWorld(sig[at], size[large], max(beam, 2 * OUT))
+    n = len(at)
+    rank = np.arange(n) - world.first[world.group]
+    asked = np.flatnonzero(rank % np.maximum(1, world.size // LEAST)[world.group] == 0)  # groups are shuffled
+    truth = np.full(n, -1, np.int64)
     for g, q in _by_group(world.group, asked):
-        truth[q] = np.bincount(world.exact_all(g, q, radius)[0] - q[0], minlength=q[-1] - q[0] + 1)[q - q[0]]
-    todo = np.flatnonzero((size > 1)[world.group])
+        truth[q] = world.exact_counts(g, q, radius)
+    whole = np.zeros(n, bool)
+    met: list[np.ndarray] = []
+    todo = np.arange(n)
     while len(todo) and beam <= widest:
         ids, dist = world.search(todo, beam)
         near = (dist <= radius).sum(1)
-        full = (near == beam) & (beam < world.size[world.group[todo]] - 1)
-        group = world.group[todo]
+        of = world.group[todo]
+        full = (near == beam) & (beam < world.size[of] - 1)
+        whole[todo[full]] = True
         told = np.flatnonzero((truth[todo] >= 0) & ~full)
-        hit = np.bincount(group[told], near[told], len(size))
-        all_ = np.bincount(group[told], truth[todo[told]], len(size))
-        again = full | (hit < target * all_)[group]
-        ok = (dist <= radius) & ~again[:, None]
-        out.append((np.repeat(todo, ok.sum(1)), ids[ok], dist[ok]))
-        told = told[~again[told]]
-        found, there = found + int(near[told].sum()), there + int(truth[todo[told]].sum())
+        hit, there = (np.bincount(of[told], x, len(large)) for x in (near[told], truth[todo[told]]))
+        again = (hit < target * there)[of] & ~full
+        ok = (dist <= radius) & ~again[:, None] & ~full[:, None]
+        a, b = np.repeat(todo, ok.sum(1)), ids[ok]
+        met.append(np.minimum(a, b) * n + np.maximum(a, b))
         todo = todo[again]
         beam *= 2
-    for g, q in _by_group(world.group, todo):
-        out.append(world.exact_all(g, q, radius))
-        exact = int(truth[q][truth[q] >= 0].sum())
-        found, there = found + exact, there + exact
-    if not out:
-        none = np.zeros(0, np.int64)
-        return none, none, none, found, there
-    a, b, d = (np.concatenate(x) for x in zip(*out, strict=True))
-    return a, b, d, found, there
+    whole[todo] = True
+    code = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)
+    a, b = code // n, code % n
+    keep = ~(whole[a] | whole[b])  # those meet below
+    a, b = at[a[keep]], at[b[keep]]
+    keep = meeting.here(a, b)
+    out.add(a[keep], b[keep])
+    for g, q in _by_group(world.group, np.flatnonzero(whole)):
+        lo, hi = int(world.first[g]), int(world.first[g] + world.size[g])
+        step = max(1, PAIRS // (hi - lo))
+        for k in range(0, len(q), step):
+            rows = q[k : k + step]
+            mask = pairwise(world.sig[rows], world.sig[lo:hi]) <= radius
+            mask &= ~whole[lo:hi] | (np.arange(lo, hi) > rows[:, None])
+            mask &= meeting.here(at[rows][:, None], at[lo:hi][None, :])
+            out.add_block(at[rows], int(at[lo]), mask)
+    return out
+
+
+def _small(sig: np.ndarray, size: np.ndarray, first: np.ndarray, group: np.ndarray, radius: int, meeting: Meeting, out: Links) -> None:
+    """All pairs within the groups of up to SMALL points, a bounded number at a time."""
+    left = np.where((size <= SMALL)[group], (first + size)[group] - np.arange(len(sig)) - 1, 0)
+    upto = np.cumsum(left)
+    start = 0
+    while start < len(sig):
+        end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + PAIRS, "right")))
+        n = left[start:end]
+        a = np.repeat(np.arange(start, end), n)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+        near = distance(sig[a], sig[b]) <= radius
+        a, b = a[near], b[near]
+        keep = meeting.here(a, b)
+        out.add(a[keep], b[keep])
+        start = end
 
 
 def _by_group(group: np.ndarray, points: np.ndarray) -> list[tuple[int, np.ndarray]]:
