@@ -2,18 +2,20 @@
 
 Every line with a word is normalised (lower case, single blanks) and its variable fields, the tokens
 with a digit, become `<*>`. The tree has a fixed depth: first the number of tokens, then the first
-`depth` tokens. Within a leaf that many documents share, a token is constant if that token stands at
-that place in `min_docs` (text, line) pairs; every other place is a variable field too. The line's
-template is what is constant (kept as the xor of the hashes of its leaf, places and tokens); a template recurs if `min_docs` (text, line) pairs have it and at least
-`fixed` of its tokens are constant. Lines of recurring templates are dropped from every document but the
-one with the lowest id, so nothing disappears from the corpus as a whole. Texts are counted, not ids:
-exact copies are one text and left to document de-duplication. Lines of fewer than `min_tokens` tokens
-say too little to be boilerplate and stay.
-
-Scale: what is shuffled is one row of hashes per line; words are exploded only for distinct lines of
-leaves that reach `min_docs`, already counted, so a hot leaf costs its distinct lines. The text moves
-once, when the dropped places come back to it. The one broadcast has at most `BUCKETS` small rows,
-whatever the input. No step collects a group.
+`depth` tokens. Within a leaf a token is constant if `min_docs` documents have it at that place; every
+other place is a variable field too. The line's template is what is constant (kept as the xor of the
+hashes of its leaf, places and tokens); a template recurs if `min_docs` documents have a line of it and at
+least `fixed` of its tokens are constant. Lines of recurring templates are dropped from every document but the
+one with the lowest id, so nothing disappears from the corpus as a whole. Documents are distinct texts: exact
+copies are one text and left to document de-duplication, and many lines of one text count once.
+A short line ("Read more") is a leaf of its own and recurs as a whole line.
+
+Scale: what is shuffled is one row of hashes per line; the normalised lines are written beside them and
+read again for lines of leaves that can recur only, of which one occurrence each gives the words. Lines that
+`min_docs` texts hold make their tokens constant and their template recurring by themselves; documents are
+counted apart for lines of fewer texts, so no count expands a hot line. The text moves once, when the
+dropped places come back to it. The one broadcast has at most `BUCKETS` small rows, whatever the input; it
+only keeps rows out of a join, and a corpus that fills it shuffles each line once. No step collects a group.
 
 Edge cases: null and blank texts have no lines and are left as they are; blank lines stay in place; a
 null id sorts last when the keeper is chosen; repeated rows of one id and text get the same places
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from echofold.llm.common import SOLID, stored
 from echofold.llm.quality_rules import bound, normal
 
-MIN_DOCS, DEPTH, FIXED, MIN_TOKENS = 10, 4, 0.6, 3
+MIN_DOCS, DEPTH, FIXED = 10, 4, 0.6
 BUCKETS = 1 << 18
 _LAST = 2**63 - 1
 
@@ -48,33 +50,44 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFr
     return rows.withColumns({"line": F.xxhash64("masked"), "leaf": F.xxhash64("n", F.substring_index("masked", " ", depth))})
 
 
-def recurring_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, min_docs: int, depth: int, fixed: float, min_tokens: int) -> DataFrame:
+def recurring_lines(lines: DataFrame, min_docs: int, fixed: float) -> DataFrame:
     """(line, keeper) of the lines whose template recurs, from `lines`, the stored rows of line_rows."""
-    held = (
-        lines.filter(F.col("n") >= min_tokens)
-        .groupBy("line", "text_hash")
-        .agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.min(F.coalesce("id", F.lit(_LAST))).alias("id"))
-        .groupBy("line")
-        .agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.count("*").alias("texts"), F.min("id").alias("keeper"))
-    )
-    held = stored(held, "line-counts")
+    one = F.min(F.struct(F.coalesce("id", F.lit(_LAST)).alias("id"), F.col("place"))).alias("at")
+    texts = stored(lines.groupBy("line", "text_hash").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), one), "line-texts")
+    first = F.min(F.struct("at.id", "text_hash", "at.place")).alias("at")
+    held = stored(texts.groupBy("line").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.count("*").alias("texts"), first), "line-counts")
     hot = held.groupBy("leaf").agg(F.sum("texts").alias("in_leaf")).filter(F.col("in_leaf") >= min_docs).select(F.col("leaf").alias("hot_leaf"))
     hot_lines = stored(held.join(hot, F.col("leaf") == F.col("hot_leaf"), "left_semi"), "hot-lines")
+    rare = hot_lines.filter(F.col("texts") < min_docs).select(F.col("line").alias("r_line"))
+    holders = stored(texts.select("line", "text_hash").join(rare, F.col("line") == F.col("r_line"), "left_semi"), "rare-holders")
+
+    def often(rows: DataFrame, key: list[str], extra: list) -> DataFrame:
+        """The keys of rows (line, texts, key) that `min_docs` documents hold: by one line of so many texts, or by
+        distinct texts of all their lines, which are counted only where the sum of both reaches it."""
+        sums = rows.groupBy(*key).agg(F.sum("texts").alias("most"), F.max("texts").alias("one"), *extra).filter(F.col("most") >= min_docs)
+        sums = stored(sums, "often")
+        names = [F.col(k).alias(f"k_{k}") for k in key]
+        same = lambda df: [df[k] == F.col(f"k_{k}") for k in key]
+        open_ = sums.filter(F.col("one") < min_docs).select(*names)
+        some = rows.join(open_, same(rows), "left_semi").select("line", *key)
+        enough = some.join(holders, "line").groupBy(*key).agg(F.countDistinct("text_hash").alias("docs")).filter(F.col("docs") >= min_docs).select(*names)
+        return sums.filter(F.col("one") >= min_docs).unionByName(sums.join(enough, same(sums), "left_semi")).drop("most", "one")
 
     # the words of hot lines only: a filter of at most BUCKETS rows keeps the others out of the shuffle
     bucket = F.pmod(F.col("line"), F.lit(BUCKETS)).cast("int")
     some = hot_lines.select(bucket.alias("bucket")).distinct()
-    read = line_rows(docs, id_col, text_col, depth).select("line", "masked").withColumn("bucket", bucket)
-    read = read.join(F.broadcast(some), "bucket", "left_semi").groupBy("line").agg(F.first("masked").alias("masked"))
-    tokens = hot_lines.join(read, "line").select("line", "leaf", "texts", F.posexplode(F.split("masked", " ")).alias("place", "token"))
+    read = lines.select("line", "text_hash", "place", "masked").withColumn("bucket", bucket).join(F.broadcast(some), "bucket", "left_semi").drop("bucket")
+    asked = hot_lines.select(F.col("line").alias("h_line"), F.col("at.text_hash").alias("h_text"), F.col("at.place").alias("h_place"), "leaf", "texts")
+    words = read.join(asked, (F.col("line") == F.col("h_line")) & (F.col("text_hash") == F.col("h_text")) & (F.col("place") == F.col("h_place")))
+    tokens = words.dropDuplicates(["line"]).select("line", "leaf", "texts", F.posexplode(F.split("masked", " ")).alias("place", "token"))
     tokens = stored(tokens.filter(F.col("token") != "<*>").select("line", "texts", F.xxhash64("leaf", "place", "token").alias("spot")), "hot-tokens")
-    constant = tokens.groupBy("spot").agg(F.sum("texts").alias("times")).filter(F.col("times") >= min_docs).select(F.col("spot").alias("c_spot"))
+    constant = often(tokens, ["spot"], []).select(F.col("spot").alias("c_spot"))
     shape = tokens.join(constant, F.col("spot") == F.col("c_spot"), "left_semi").groupBy("line").agg(F.bit_xor("spot").alias("template"), F.count("*").alias("constants"))
-    shape = stored(shape.join(hot_lines, "line").filter(F.col("constants") >= F.col("n") * fixed), "line-shapes")
-    often = shape.groupBy("leaf", "template", "constants").agg(F.sum("texts").alias("all_texts"), F.min("keeper").alias("first_id")).filter(F.col("all_texts") >= min_docs)
-    often = often.select(F.col("leaf").alias("o_leaf"), F.col("template").alias("o_template"), F.col("constants").alias("o_constants"), "first_id")
-    on = (F.col("leaf") == F.col("o_leaf")) & (F.col("template") == F.col("o_template")) & (F.col("constants") == F.col("o_constants"))
-    return shape.join(often, on).select("line", F.col("first_id").alias("keeper"))
+    known = hot_lines.select("line", "leaf", "n", "texts", F.col("at.id").alias("id"))
+    shape = stored(shape.join(known, "line").filter(F.col("constants") >= F.col("n") * fixed), "line-shapes")
+    key = ["leaf", "template", "constants"]
+    found = often(shape, key, [F.min("id").alias("keeper")]).select(*[F.col(k).alias(f"o_{k}") for k in key], "keeper")
+    return shape.join(found, [F.col(k) == F.col(f"o_{k}") for k in key]).select("line", "keeper")
 
 
 def deduplicated(
@@ -84,12 +97,11 @@ def deduplicated(
     min_docs: int = MIN_DOCS,
     depth: int = DEPTH,
     fixed: float = FIXED,
-    min_tokens: int = MIN_TOKENS,
 ) -> DataFrame:
     """(row, n_lines, n_dropped, kept): every input row as a struct, and its text without the dropped lines."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = stored(line_rows(docs, id_col, text_col, depth).drop("masked"), "lines")
-    drop = recurring_lines(docs, lines, id_col, text_col, min_docs, depth, fixed, min_tokens).select(F.col("line").alias("d_line"), "keeper")
+    lines = stored(line_rows(docs, id_col, text_col, depth), "lines")
+    drop = recurring_lines(lines, min_docs, fixed).select(F.col("line").alias("d_line"), "keeper")
     gone = (
         lines.join(drop, (F.col("line") == F.col("d_line")) & (F.coalesce("id", F.lit(_LAST)) != F.col("keeper")))
         .groupBy(F.col("id").alias("g_id"), F.col("text_hash").alias("g_hash"))
@@ -130,21 +142,23 @@ WITH t AS (
   FROM raw
 ), held AS (
   SELECT line, count(DISTINCT text) AS texts, min(coalesce(doc_id, 9223372036854775807)) AS keeper, string_split(line, ' ') AS tokens
-  FROM marked WHERE holds GROUP BY line HAVING len(string_split(line, ' ')) >= 3
+  FROM marked WHERE holds GROUP BY line
+), holders AS (
+  SELECT DISTINCT line, text FROM marked WHERE holds
 ), leaves AS (
   SELECT *, concat_ws(' ', len(tokens), array_to_string(tokens[1:4], ' ')) AS leaf FROM held
 ), hot AS (
   SELECT * FROM leaves WHERE leaf IN (SELECT leaf FROM leaves GROUP BY leaf HAVING sum(texts) >= 10)
 ), places AS (
-  SELECT leaf, line, texts, keeper, len(tokens) AS n, unnest(tokens) AS token, unnest(generate_series(1, len(tokens))) AS place FROM hot
+  SELECT leaf, line, keeper, len(tokens) AS n, unnest(tokens) AS token, unnest(generate_series(1, len(tokens))) AS place FROM hot
 ), constant AS (
-  SELECT leaf, place, token FROM places WHERE token <> '<*>' GROUP BY leaf, place, token HAVING sum(texts) >= 10
+  SELECT leaf, place, token FROM places JOIN holders USING (line) WHERE token <> '<*>' GROUP BY leaf, place, token HAVING count(DISTINCT text) >= 10
 ), shape AS (
-  SELECT p.line, any_value(p.texts) AS texts, any_value(p.keeper) AS keeper,
-         string_agg(coalesce(c.token, '<*>'), ' ' ORDER BY p.place) AS template, count(c.token) AS constants, any_value(p.n) AS n
+  SELECT p.line, any_value(p.keeper) AS keeper,
+         any_value(p.leaf) || ': ' || string_agg(coalesce(c.token, '<*>'), ' ' ORDER BY p.place) AS template, count(c.token) AS constants, any_value(p.n) AS n
   FROM places p LEFT JOIN constant c USING (leaf, place, token) GROUP BY p.line
 ), often AS (
-  SELECT template, min(keeper) AS keeper FROM shape WHERE constants >= n * 0.6 GROUP BY template HAVING sum(texts) >= 10
+  SELECT template, min(keeper) AS keeper FROM shape JOIN holders USING (line) WHERE constants >= n * 0.6 GROUP BY template HAVING count(DISTINCT text) >= 10
 ), gone AS (
   SELECT line, often.keeper FROM shape JOIN often USING (template) WHERE constants >= n * 0.6
 ), judged AS (

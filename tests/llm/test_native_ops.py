@@ -52,11 +52,25 @@ def test_line_templates_drop_and_keep(spark):
     out = line_templates.without_recurring_lines(docs)
     assert out.columns == docs.columns and out.count() == len(DOCS)
     texts = {r["doc_id"]: r["text"] for r in out.collect()}
-    assert texts[0].startswith("Page 0 of")  # the keeper
-    assert all(texts[i] == "ok" for i in range(1, 40))  # names vary, too
+    assert texts[0].startswith("Page 0 of") and texts[0].endswith("\nok")  # the keeper
+    assert all(texts[i] == "" for i in range(1, 40))  # names vary, too, and short lines recur whole
     assert texts[None] == "" and texts[100] is None and texts[102] == " \n\t\n" and texts[105] == DOCS[-1][1]
 
 
+LISTS = [(1, "\n".join(f"item number {i} of the long list" for i in range(30)), "s"), (2, "item number 99 of the long list\nand more", "s")]
+SHORT = [(i, f"only text {'abcdefghijklmno'[i] * 4} says so\nRead more\n{i}", "s") for i in range(12)]
+
+
+@pytest.mark.parametrize("docs", [LISTS, SHORT, LISTS + SHORT, [(i, ("many words " * 9 + "\n") * (3000 if i == 3 else 2) + "x" * i, "s") for i in range(14)]])
+def test_documents_are_counted_not_lines(spark, docs):
+    same(line_templates.report(spark.createDataFrame(docs, SPARK)), sql(line_templates.SQL, documents=(SCHEMA, docs)))
+    dropped = {r["doc_id"]: r["n_dropped"] for r in line_templates.report(spark.createDataFrame(docs, SPARK)).collect()}
+    if docs is LISTS:
+        assert dropped == {1: 0, 2: 0}  # thirty lines, but two documents
+    if docs is SHORT:
+        assert dropped == {0: 0, **dict.fromkeys(range(1, 12), 1)}
+
+
 def test_copies_are_no_templates(spark):
     docs = [(i, "the very same line of every copy\nand its second line as well", "s") for i in range(50)]
     assert {r["n_dropped"] for r in line_templates.report(spark.createDataFrame(docs, SPARK)).collect()} == {0}
