@@ -52,10 +52,9 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFr
 
 def recurring_lines(lines: DataFrame, min_docs: int, fixed: float) -> DataFrame:
     """(line, keeper) of the lines whose template recurs, from `lines`, the stored rows of line_rows."""
-    one = F.min(F.struct(F.coalesce("id", F.lit(_LAST)).alias("id"), F.col("place"))).alias("at")
-    texts = stored(lines.groupBy("line", "text_hash").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), one), "line-texts")
-    first = F.min(F.struct("at.id", "text_hash", "at.place")).alias("at")
-    held = stored(texts.groupBy("line").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.count("*").alias("texts"), first), "line-counts")
+    texts = stored(lines.groupBy("line", "text_hash").agg(F.max("leaf").alias("leaf"), F.max("n").alias("n"), F.min(F.coalesce("id", F.lit(_LAST))).alias("id")), "line-texts")
+    held = texts.groupBy("line").agg(F.max("leaf").alias("leaf"), F.max("n").alias("n"), F.count("*").alias("texts"), F.min("id").alias("id"), F.min("text_hash").alias("in_text"))
+    held = stored(held, "line-counts")
     hot = held.groupBy("leaf").agg(F.sum("texts").alias("in_leaf")).filter(F.col("in_leaf") >= min_docs).select(F.col("leaf").alias("hot_leaf"))
     hot_lines = stored(held.join(hot, F.col("leaf") == F.col("hot_leaf"), "left_semi"), "hot-lines")
     rare = hot_lines.filter(F.col("texts") < min_docs).select(F.col("line").alias("r_line"))
@@ -76,14 +75,14 @@ def recurring_lines(lines: DataFrame, min_docs: int, fixed: float) -> DataFrame:
     # the words of hot lines only: a filter of at most BUCKETS rows keeps the others out of the shuffle
     bucket = F.pmod(F.col("line"), F.lit(BUCKETS)).cast("int")
     some = hot_lines.select(bucket.alias("bucket")).distinct()
-    read = lines.select("line", "text_hash", "place", "masked").withColumn("bucket", bucket).join(F.broadcast(some), "bucket", "left_semi").drop("bucket")
-    asked = hot_lines.select(F.col("line").alias("h_line"), F.col("at.text_hash").alias("h_text"), F.col("at.place").alias("h_place"), "leaf", "texts")
-    words = read.join(asked, (F.col("line") == F.col("h_line")) & (F.col("text_hash") == F.col("h_text")) & (F.col("place") == F.col("h_place")))
+    read = lines.select("line", "text_hash", "masked").withColumn("bucket", bucket).join(F.broadcast(some), "bucket", "left_semi").drop("bucket")
+    asked = hot_lines.select(F.col("line").alias("h_line"), F.col("in_text").alias("h_text"), "leaf", "texts")
+    words = read.join(asked, (F.col("line") == F.col("h_line")) & (F.col("text_hash") == F.col("h_text")))
     tokens = words.dropDuplicates(["line"]).select("line", "leaf", "texts", F.posexplode(F.split("masked", " ")).alias("place", "token"))
     tokens = stored(tokens.filter(F.col("token") != "<*>").select("line", "texts", F.xxhash64("leaf", "place", "token").alias("spot")), "hot-tokens")
     constant = often(tokens, ["spot"], []).select(F.col("spot").alias("c_spot"))
     shape = tokens.join(constant, F.col("spot") == F.col("c_spot"), "left_semi").groupBy("line").agg(F.bit_xor("spot").alias("template"), F.count("*").alias("constants"))
-    known = hot_lines.select("line", "leaf", "n", "texts", F.col("at.id").alias("id"))
+    known = hot_lines.select("line", "leaf", "n", "texts", "id")
     shape = stored(shape.join(known, "line").filter(F.col("constants") >= F.col("n") * fixed), "line-shapes")
     key = ["leaf", "template", "constants"]
     found = often(shape, key, [F.min("id").alias("keeper")]).select(*[F.col(k).alias(f"o_{k}") for k in key], "keeper")
