@@ -200,9 +200,28 @@ def _all(rows: list, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(rows), kind)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers below 2^32, compressed a byte plane after the other, as few planes as they need."""
+    import zstandard
+
+    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T[:width])
+    return zstandard.ZstdCompressor(level=1).compress(bytes([width]) + planes.tobytes())
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    planes, width = planes[1:].reshape(planes[0], -1), int(planes[0])
+    out = np.zeros((planes.shape[1], 4), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u4")[:, 0].astype(np.int64)
+
+
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Blocks of texts as arrays: uid, doc (ids), absent (null flags), words (of each text), word (distinct hashes,
-    ascending), tail (their buckets), n (their counts), at (which of them each word is)."""
+    ascending), tail (their buckets), n (their counts), at (which of them, the most frequent first, each word is)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -213,8 +232,10 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
             for first, last, data, offsets in blocks(b.column(1)):
                 start, end, row = words(data, offsets)
                 word, one, at, n = np.unique(Slices(data).hashes(start, end), return_index=True, return_inverse=True, return_counts=True)
-                parts = [ids[first:last], absent[first:last].astype(np.uint8), np.bincount(row, minlength=last - first).astype(np.int32), word, tail_bucket(data, start[one], end[one]), n.astype(np.int32), at.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array([uid]), *(pa.array([x.tobytes()]) for x in parts)], ["uid", "doc", "absent", "words", "word", "tail", "n", "at"])
+                rank = np.empty(len(word), np.int64)
+                rank[np.argsort(-n, kind="stable")] = np.arange(len(word))
+                parts = [ids[first:last], absent[first:last].astype(np.uint8), np.bincount(row, minlength=last - first).astype(np.int32), word, tail_bucket(data, start[one], end[one]), n.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array([uid]), *(pa.array([x.tobytes()]) for x in parts), pa.array([packed(rank[at])])], ["uid", "doc", "absent", "words", "word", "tail", "n", "at"])
                 uid += 1
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -293,7 +314,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 def encoded(cut_: DataFrame, counts: DataFrame, vocab: Vocabulary) -> DataFrame:
     """Blocks as ids: uid, doc, absent, words, ids (of each word), share (sum over a text of the words' log shares)."""
     mine = counts.filter("uid IS NOT NULL").groupBy(F.col("uid").alias("t_uid")).agg(F.sort_array(F.collect_list(F.struct("part", "totals"))).alias("parts"))
-    both = cut_.join(mine, F.col("uid") == F.col("t_uid"), "left").select("uid", "doc", "absent", "words", "word", "tail", "at", F.col("parts.totals").alias("totals"))
+    both = cut_.join(mine, F.col("uid") == F.col("t_uid"), "left").select("uid", "doc", "absent", "words", "word", "tail", "n", "at", F.col("parts.totals").alias("totals"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = vocab.table()
@@ -306,9 +327,9 @@ def encoded(cut_: DataFrame, counts: DataFrame, vocab: Vocabulary) -> DataFrame:
                 rare = ids < 0
                 ids[rare] = WORDS - BUCKETS + _all([r["tail"]], np.uint8)[rare].astype(np.int64)
                 share = np.where(rare, np.log(np.maximum(totals, 0.5) / np.maximum(vocab.counts[ids], 1)), 0)
-                at = _all([r["at"]], "<i4")
+                at = np.argsort(-_all([r["n"]], "<i4"), kind="stable")[unpacked(r["at"])]
                 of = np.bincount(np.repeat(np.arange(len(n)), n), share[at], len(n)) if len(at) else np.zeros(len(n))
-                cols = [r["uid"], r["doc"], r["absent"], r["words"], ids.astype("<u2")[at].tobytes(), of.astype("<f8").tobytes()]
+                cols = [r["uid"], r["doc"], r["absent"], r["words"], packed(ids[at]), of.astype("<f8").tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([x]) for x in cols], ["uid", "doc", "absent", "words", "ids", "share"])
 
     return stored(both.mapInArrow(run, "uid long, doc binary, absent binary, words binary, ids binary, share binary"), "token-blocks")
@@ -320,7 +341,7 @@ def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndar
         for i in range(b.num_rows):
             r = b.slice(i, 1).to_pylist()[0]
             n = _all([r["words"]], "<i4")
-            yield r, n, _all([r["ids"]], "<u2").astype(np.int64), np.repeat(np.arange(len(n)), n)
+            yield r, n, unpacked(r["ids"]), np.repeat(np.arange(len(n)), n)
 
 
 def trained(coded: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Network:

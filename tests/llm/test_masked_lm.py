@@ -111,12 +111,18 @@ def test_counts_and_scores_against_plain_python(spark, monkeypatch):
     assert abs(total - sum(by_id.values())) < 1e-6
 
 
+def test_packed_numbers():
+    for x in ([], [0], [0, 255], [256, 3], [1 << 31, 7, 0], range(70_000)):
+        x = np.array(x, np.int64)
+        assert (lm.unpacked(lm.packed(x)) == x).all() and len(lm.unpacked(lm.packed(x))) == len(x)
+
+
 def test_training_against_plain_python(spark):
     """One partition trains as the Trainer does over the same words in the same order; two are averaged by words."""
     rows = [(i, " ".join(f"x{(i * 7 + j * j) % 50}" for j in range(60))) for i in range(50)]
     _, _, vocab, coded = parts(spark, rows)
     blocks_ = coded.orderBy("uid").coalesce(1)
-    held = [(lm._all([r["words"]], "<i4"), lm._all([r["ids"]], "<u2").astype(np.int64)) for r in blocks_.collect()]
+    held = [(lm._all([r["words"]], "<i4"), lm.unpacked(r["ids"])) for r in blocks_.collect()]
     trainer = lm.Trainer(lm.Network.fresh(vocab.counts))
     for n, ids in held:
         trainer.add(ids, lm.contexts(ids, np.repeat(np.arange(len(n)), n)))
