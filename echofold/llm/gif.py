@@ -12,8 +12,9 @@ Code widths depend only on a code's place after the last clear code, so codes ar
 in NumPy; only the string table runs in a Python loop, one step a code.
 
 Edge cases: null and empty texts are one row of zeros; a broken file raises in `frames_of` and gives no
-frames but an `error` in `frames`; truncated pixel data leaves the remaining pixels undrawn; long texts
-are more frames, never larger canvases; repeated rows give equal rows; an empty table an empty result.
+frames but an `error` in `frames`, as does a canvas of more than `MAX_PIXELS`; truncated pixel data leaves the remaining pixels undrawn; long texts
+are more frames, never larger canvases; repeated rows give equal rows; null ids stay null; an empty table gives
+an empty result; only id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from echofold.llm.vectext import blocks
 
 WIDTH, ROWS, DELAY = 64, 1024, 4
+#: Canvases and images beyond are refused: their size is only said in a header, whatever the file holds.
+MAX_PIXELS = 1 << 25
 _BITS = np.arange(12, dtype=np.uint32)
 _GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
 _SINGLE = [bytes([i]) for i in range(256)]
@@ -181,6 +184,8 @@ def frames_of(gif: bytes) -> Iterator[Frame]:
         return b"".join(parts), at + 1
 
     common, at = palette(flags, at)
+    if height * width > MAX_PIXELS:
+        raise GifError(f"canvas of {width} x {height} is over {MAX_PIXELS} pixels")
     canvas = np.zeros((height, width, 3), np.uint8)
     ground = common[back] if common is not None else np.zeros(3, np.uint8)
     number, delay, disposal, clear = 0, 0, 0, -1
@@ -200,6 +205,8 @@ def frames_of(gif: bytes) -> Iterator[Frame]:
         if at + 10 > len(gif):
             raise GifError("image is cut off")
         x, y, w, h, local = struct.unpack("<HHHHB", gif[at + 1 : at + 10])
+        if w * h > MAX_PIXELS:
+            raise GifError(f"image of {w} x {h} is over {MAX_PIXELS} pixels")
         own, at = palette(local, at + 10)
         colours = own if own is not None else common
         if colours is None or at >= len(gif) or not 1 <= gif[at] <= 11:

@@ -6,12 +6,13 @@ bytes with each dictionary; the sizes add up over the whole text. The normalised
 (good - bad) / max(good, bad) of both views, and log(good / length), go through a logistic calibration
 fitted by Newton steps. Dictionaries and calibration use different halves of the sample.
 
-The sample: per class the `ROWS` labelled documents with the lowest hash of their id, texts of up to
-`CHARS` characters, never from the held-out quarter (crc32 of the id as text, mod 4, is 2). It is the
-only thing that is bounded; every text is scored whole. The broadcast holds at most 2 * ROWS ids.
+The sample: per class the `ROWS` labelled documents with the lowest hash of their id, as many in that order as
+hold `CHARS` characters together, whole and whatever their length, never from the held-out quarter (crc32 of
+the id as text, mod 4, is 2). It is the only thing that is bounded; every text is scored whole. The
+broadcast holds at most 2 * ROWS ids.
 
 Edge cases: null, empty and blank texts score 0; conflicting labels of one id are left out, repeated ones
-count once, null ones not at all; with fewer than `LEAST` texts of a class every other text scores the
+count once, null ones not at all; of several texts of a labelled id the shortest is fitted on (ties: the least); with fewer than `LEAST` texts of a class every other text scores the
 smoothed share of good ones; a null id is not held out; an empty table gives an empty result; only id
 and text of the documents are read for a score.
 """
@@ -24,13 +25,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from echofold.llm.vectext import blocks
 
-ROWS, CHARS, LEAST = 1500, 20_000, 8
+ROWS, CHARS, LEAST = 1500, 30_000_000, 8
 BLOCK, DICTIONARY, LEVEL = 4096, 65_536, 3
 CUT = 0.7
 _SHAPE = bytes(97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
@@ -132,14 +133,16 @@ def fit(rows: list[tuple[int, str, int]]) -> Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS, chars: int = CHARS) -> list[tuple[int, str, int]]:
-    """At most 2 * rows texts of at most `chars` characters, for the driver to fit on."""
+    """At most `rows` texts of a class, of at most `chars` characters together, for the driver to fit on."""
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).filter(F.col("quality") == F.col("most"))
     picked = [known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for q in (0, 1)]
     ids = picked[0].unionByName(picked[1]).select(F.col("doc_id").alias("l_id"), F.col("quality").cast("int").alias("quality"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text") <= chars)
-    found = texts.join(F.broadcast(ids), F.col("id") == F.col("l_id")).dropDuplicates(["id"])
-    return [tuple(r) for r in found.select("id", "text", "quality").collect()]
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = texts.join(F.broadcast(ids), F.col("id") == F.col("l_id")).groupBy("id", "quality").agg(F.min(F.struct(F.length("text").alias("size"), "text")).alias("t"))
+    upto = Window.partitionBy("quality").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most `rows` each
+    found = found.withColumn("upto", F.sum("t.size").over(upto)).filter(F.col("upto") <= chars)
+    return [tuple(r) for r in found.select("id", "t.text", "quality").collect()]
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:

@@ -2,18 +2,20 @@
 
 Per document: base counts (words, their characters, symbols, repeated lines and words) and a base
 verdict. Across documents: every line with a word is normalised and hashed, and per host (`source`) the
-distinct document texts that hold it are counted; lines held by more than `max(min_docs, share of the
-host's texts)` are removed, and a document that keeps less than `min_left` of its words is rejected as
-depleted. Texts, not ids, are counted: exact copies are a matter of de-duplication, and a copied clean
-document is no boilerplate.
+distinct document texts that hold it are counted; lines held by more than `min_docs` are removed, whatever the
+size of the host, and a document that keeps less than `min_left` of its words is rejected as depleted.
+`without_frequent_lines` gives the documents without these lines, `judged` the counts and verdicts. Texts, not ids,
+are counted: exact copies are a matter of de-duplication, and a copied clean document is no boilerplate.
 
-Scale: the text is read twice, once for the counts and once for the lines; what is shuffled is one
+Scale: the text is read once; the counts and 12 bytes a line are written and read again. What is shuffled is one
 (host, 8-byte hash, 8-byte text hash) per distinct line of a document, pre-aggregated before the
-shuffle, so one hot host is spread by line hash. Documents get their removed words back as one row each.
+shuffle, so one hot host is spread by line hash. Documents get their removed words back as one row each;
+the text itself moves only where it is to be returned without lines.
 
 Edge cases: a null text has no words and no lines; it and every blank text fail the base rule; null
-hosts form one host; repeated rows with the same id and text give the same row each; an empty table
-gives an empty result. Only the id, text and host columns are read, so other columns cannot clash.
+hosts form one host; repeated rows with the same id and text give the same row each; very long lines are a hash
+like others; an empty table gives an empty result. `judged` reads the id, text and host columns only, so other
+columns cannot clash; `without_frequent_lines` carries them along whatever their names.
 """
 
 from __future__ import annotations
@@ -21,9 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echofold.llm.common import SOLID, SPACE, n_words, words
+from echofold.llm.common import SOLID, SPACE, n_words, stored, words
 
 MIN_WORDS, MAX_REPEATED = 50, 50
+MIN_DOCS, MIN_LEFT = 20, 0.3
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -85,19 +88,19 @@ def base_counts(text: Column) -> dict[str, Column]:
     }
 
 
-def frequent_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_docs: int, share: float) -> DataFrame:
-    """(host, line, docs): the normalised lines above the limit of their host."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    per_text = docs.select(
-        F.col(host_col).alias("host"),
-        F.xxhash64(text).alias("text_hash"),
-        F.array_distinct(F.transform(line_list(F.col(text_col)), lambda x: F.xxhash64(normal(x)))).alias("lines"),
-    )
-    held = per_text.select("host", "text_hash", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.countDistinct("text_hash").alias("docs"))
-    hosts = docs.select(F.col(host_col).alias("h"), F.xxhash64(text).alias("text_hash")).groupBy("h").agg(F.countDistinct("text_hash").alias("texts"))
-    often = held.filter(F.col("docs") > min_docs)
-    over = often.join(hosts, often["host"].eqNullSafe(hosts["h"])).filter(F.col("docs") > F.greatest(F.lit(float(min_docs)), F.col("texts") * share))
-    return over.select("host", "line", "docs")
+def hashed_lines(text: Column) -> Column:
+    """(line, n) of each line with a word: the hash of the normalised line, its words."""
+    return F.transform(line_list(text), lambda x: F.struct(F.xxhash64(normal(x)).alias("line"), F.size(words(x)).alias("n")))
+
+
+def frequent_lines(lines: DataFrame, min_docs: int) -> DataFrame:
+    """(o_host, o_line): lines more than `min_docs` distinct texts of a host hold, from rows (host, text_hash, line)."""
+    held = lines.select("host", "text_hash", "line").groupBy("host", "line").agg(F.countDistinct("text_hash").alias("docs"))
+    return held.filter(F.col("docs") > min_docs).select(F.col("host").alias("o_host"), F.col("line").alias("o_line"))
+
+
+def _over(df: DataFrame) -> Column:
+    return df["host"].eqNullSafe(F.col("o_host")) & (df["line"] == F.col("o_line"))
 
 
 def judged(
@@ -105,42 +108,49 @@ def judged(
     id_col: str = "doc_id",
     text_col: str = "text",
     host_col: str = "source",
-    min_docs: int = 20,
-    share: float = 0.002,
-    min_left: float = 0.3,
+    min_docs: int = MIN_DOCS,
+    min_left: float = MIN_LEFT,
 ) -> DataFrame:
     """One row per document: the base counts, base_failed, removed_lines, removed_words, kept."""
-    over = frequent_lines(docs, id_col, text_col, host_col, min_docs, share).withColumnRenamed("host", "h")
-    lines = docs.select(
-        F.col(id_col).alias("id"),
-        F.col(host_col).alias("host"),
-        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"),
-        F.explode(F.transform(line_list(F.col(text_col)), lambda x: F.struct(F.xxhash64(normal(x)).alias("line"), F.size(words(x)).alias("n")))).alias("l"),
-    ).select("id", "host", "text_hash", "l.line", "l.n")
-    hit = lines.join(over, lines["host"].eqNullSafe(over["h"]) & (lines["line"] == over["line"]))
-    # repeated rows of one id and text each match: the number of rows divides the sums again
-    gone = hit.groupBy(lines["id"].alias("gone_id"), lines["host"].alias("gone_host"), lines["text_hash"].alias("gone_text")).agg(F.count("*").alias("gone_lines"), F.sum("n").alias("gone_words"))
-    counts = docs.select(
+    text = F.col(text_col)
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("row"),
         F.col(id_col).alias("doc_id"),
         F.col(host_col).alias("host"),
-        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"),
-        *[c.alias(k) for k, c in base_counts(F.col(text_col)).items()],
+        F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"),
+        *[c.alias(k) for k, c in base_counts(text).items()],
+        hashed_lines(text).alias("lines"),
     )
-    same = counts.groupBy("doc_id", "host", "text_hash").agg(F.count("*").alias("rows"), *[F.first(k).alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
-    on = same["doc_id"].eqNullSafe(gone["gone_id"]) & same["host"].eqNullSafe(gone["gone_host"]) & (same["text_hash"] == gone["gone_text"])
-    both = same.join(gone, on, "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    per_row = lambda c: F.coalesce(F.col(c) / F.col("rows"), F.lit(0)).cast("long")
+    rows = stored(rows, "line-hashes")  # numbers of rows are fixed here
+    lines = rows.select("row", "host", "text_hash", F.inline("lines"))
+    over = frequent_lines(lines, min_docs)
+    gone = lines.join(over, _over(lines), "left_semi").groupBy(F.col("row").alias("g_row")).agg(F.count("*").alias("removed_lines"), F.sum("n").alias("removed_words"))
+    both = rows.drop("lines").join(gone, F.col("row") == F.col("g_row"), "left")
+    removed = {k: F.coalesce(F.col(k), F.lit(0)).cast("long") for k in ("removed_lines", "removed_words")}
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    left = F.col("n_words") - per_row("gone_words")
+    left = F.col("n_words") - removed["removed_words"]
     return both.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        per_row("gone_lines").alias("removed_lines"),
-        per_row("gone_words").alias("removed_words"),
+        *[c.alias(k) for k, c in removed.items()],
         base_failed.alias("base_failed"),
         (~base_failed & (left >= min_left * F.col("n_words"))).alias("kept"),
     )
 
 
+def without_frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS) -> DataFrame:
+    """`docs` with the lines above the limit of their host taken out of the texts; every row and column stays."""
+    text, at = F.coalesce(F.col("text"), F.lit("")), {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    own = docs.toDF(*at.values()).withColumns({"host": F.col(at[host_col]), "text": F.col(at[text_col])}).withColumn("text_hash", F.xxhash64(text))
+    each = own.select("host", "text_hash", F.posexplode(F.split(text, "\n")).alias("place", "raw")).filter(F.col("raw").rlike(SOLID))
+    lines = stored(each.select("host", "text_hash", "place", F.xxhash64(normal(F.col("raw"))).alias("line")), "line-places")
+    gone = lines.join(frequent_lines(lines, min_docs), _over(lines), "left_semi")
+    gone = gone.groupBy(F.col("host").alias("g_host"), F.col("text_hash").alias("g_hash")).agg(F.collect_set("place").alias("places"))  # at most the lines of one text
+    both = own.join(gone, F.col("host").eqNullSafe(F.col("g_host")) & (F.col("text_hash") == F.col("g_hash")), "left")
+    kept = bound(F.split("text", "\n"), lambda all_: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col("places")), lambda p: F.get(all_, p)), "\n"))
+    out = F.when(F.col("places").isNull(), F.col("text")).otherwise(kept)
+    return both.select(*[(out if c == text_col else F.col(v)).alias(c) for c, v in at.items()])
+
+
 SQL = r"""
 WITH t AS (
   SELECT doc_id, source, coalesce(text, '') AS text, row_number() OVER () AS rid,
@@ -156,11 +166,8 @@ WITH t AS (
 ), lines AS (
   SELECT rid, source, text, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n, lower(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'))) AS line
   FROM (SELECT rid, source, text, unnest(lines) AS l FROM t)
-), hosts AS (
-  SELECT source, count(DISTINCT text) AS texts FROM t GROUP BY source
 ), over AS (
-  SELECT l.source, line FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
-  GROUP BY l.source, line HAVING count(DISTINCT text) > greatest(20, any_value(texts) * 0.002)
+  SELECT source, line FROM lines GROUP BY source, line HAVING count(DISTINCT text) > 20
 ), gone AS (
   SELECT rid, count(*) AS gone_lines, sum(n) AS gone_words FROM lines l JOIN over o ON l.source IS NOT DISTINCT FROM o.source AND l.line = o.line GROUP BY rid
 ), counted AS (

@@ -145,3 +145,14 @@ def test_frames_table(spark):
     rows = gif.frames(media).orderBy("doc_id", "frame").collect()
     assert [(r["doc_id"], r["frame"], r["height"]) for r in rows if r["doc_id"] == 1] == [(1, 0, 1024), (1, 1, 76)]
     assert rows[-1]["error"]
+
+
+def test_hostile_headers(spark):
+    """A canvas or an image that only its header makes large is an error, not an allocation."""
+    wide = b"GIF89a" + b"\xff\xff\xff\xff" + b"\x80\0\0" + bytes(6)
+    image = b"GIF89a" + b"\1\0\1\0" + b"\x80\0\0" + bytes(6) + b"\x2c" + bytes(4) + b"\xff\xff\xff\xff" + b"\0\x02\0\x3b"
+    for data in (wide, image):
+        with pytest.raises(gif.GifError, match="pixels"):
+            list(gif.frames_of(data))
+    got = gif.frames(spark.createDataFrame([(1, wide), (None, b"")], "doc_id long, media binary")).collect()
+    assert len(got) == 2 and all(r["error"] and r["frame"] is None for r in got)

@@ -95,6 +95,20 @@ def test_base_counts_by_hand(spark):
         assert got[i]["base_failed"] == (len(w) < 50 or 100 * len(again) > 50 * len(w))
 
 
+def test_frequent_lines_are_removed(spark):
+    docs = [(i, f"Shared  NOTE line\nown {i}\n\nshared note line", "h") for i in range(21)] + [(50, "shared note line", "other"), (51, None, None), (None, "shared note line\nx", "h"), (52, "y" * 200_000, "h")]
+    df = spark.createDataFrame([(*d, 1, "p") for d in docs], SPARK + ", host int, places string")
+    out = quality_rules.without_frequent_lines(df)
+    assert out.columns == df.columns
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert all(got[i] == f"own {i}\n" for i in range(21)) and got[50] == "shared note line" and got[51] is None and got[None] == "x" and got[52] == docs[-1][1]
+    counts = {r["doc_id"]: (r["removed_lines"], r["removed_words"]) for r in quality_rules.judged(df.drop("places")).collect()}
+    assert counts[3] == (2, 6) and counts[None] == (1, 3) and counts[50] == (0, 0)
+    few = spark.createDataFrame(docs[:20], SPARK)
+    assert sorted(map(tuple, quality_rules.without_frequent_lines(few).collect())) == sorted(docs[:20])
+    assert quality_rules.without_frequent_lines(few.limit(0)).count() == 0
+
+
 def test_depleted_documents(spark):
     body = " ".join(f"w{k}" for k in range(80))
     docs = [(i, f"{body}\nown {i}", "h") for i in range(30)] + [(50 + i, f"{body}\n" + " ".join(f"d{i}x{k}" for k in range(90)), "h") for i in range(5)]

@@ -62,3 +62,43 @@ def test_scores_are_of_whole_texts(repeat):
     good, bad = (next(t for _, t, q in texts(300) if q == k and len(t) > 400).encode() for k in (1, 0))
     head = good * (8 * repeat)
     assert model.score(head + bad * 40 * repeat, z) < model.score(head, z)
+
+
+def test_scores_against_plain_compression(spark):
+    """Every score by itself: one compressor a dictionary and block, sizes added, the logistic function."""
+    import math
+
+    import zstandard
+
+    rows = [*texts(160), (5000, "long text of many blocks, " * 3000, 1), (5001, None, 0), (None, "no id at all " * 9, 0)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows if i is not None], "doc_id long, quality int")
+    model = qc.fit(qc.sample(docs, labels))
+    assert model.weights is not None
+
+    def size(data, d):
+        z = zstandard.ZstdCompressor(level=qc.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False, write_checksum=False)
+        return sum(len(z.compress(data[i : i + 4096])) for i in range(0, len(data), 4096))
+
+    def shape(data):
+        return bytes(97 if chr(b).islower() and b < 128 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in data)
+
+    got = {r["doc_id"]: r["score"] for r in qc.report(docs, labels).collect()}
+    for i, t, _ in rows:
+        data = (t or "").encode()
+        if not data:
+            assert got[i] == 0
+            continue
+        g, b, gs, bs = (size(x, d) for x, d in zip((data, data, shape(data), shape(data)), model.dictionaries, strict=True))
+        f = [1, (g - b) / max(g, b), (gs - bs) / max(gs, bs), math.log(g / len(data)), math.log(gs / len(data))]
+        assert abs(got[i] - 1 / (1 + math.exp(-float(np.dot(model.weights, f))))) < 2e-3
+
+
+def test_sample_is_refilled_and_does_not_depend_on_order(spark):
+    rows = texts(200)
+    long = [(i, t * 40 if i % 8 == 1 else t) for i, t, _ in rows] + [(i, t + " again") for i, t, _ in rows[:50]]
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    a, b = (sorted(qc.sample(spark.createDataFrame(x, "doc_id long, text string").repartition(n), labels, rows=40)) for x, n in ((long, 1), (long[::-1], 5)))
+    assert a == b and sum(q for _, _, q in a) == 40 and any(len(t) > 4000 for _, t, _ in a)
+    few = qc.sample(spark.createDataFrame(long, "doc_id long, text string"), labels, chars=5000)
+    assert 0 < sum(len(t) for _, t, q in few if q) <= 5000
