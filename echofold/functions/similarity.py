@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,10 +36,14 @@ def close_levenshtein(a: Column, b: Column, least: float) -> Column:
     return F.when(F.abs(F.length(a) - F.length(b)) <= most, F.when(longest == 0, F.lit(1.0)).when(d >= 0, 1 - d / longest))
 
 
-def signature_match(a: Column, b: Column) -> Column:
-    """Share of equal places of two MinHash signatures; 0 for unequal lengths."""
-    same = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, v: s + v)
-    return F.when(F.size(a) == F.size(b), same / F.size(a)).otherwise(0.0)
+def signature_match():
+    """Arrow UDF (a, b) -> share of equal places (8 bytes each) of two MinHash signatures; 0 for unequal lengths."""
+
+    @F.pandas_udf(DoubleType())
+    def same(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([float((np.frombuffer(x, np.int64) == np.frombuffer(y, np.int64)).mean()) if x and y and len(x) == len(y) else 0.0 for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return same
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 PERMUTATIONS = 128
@@ -58,10 +60,23 @@ def minhash_features(words: Column) -> Column:
     return let(words, made)
 
 
-def minhash(features: Column, n: int = PERMUTATIONS) -> Column:
-    """The least MD5 of the features for each seed; null for a text without features."""
-    one = lambda f: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda s: F.array_min(F.transform(f, lambda x: F.md5(F.concat(x, F.lit("_"), s.cast("string"))))))
-    return F.when(F.size(features) > 0, let(features, one))
+def minhash(n: int = PERMUTATIONS):
+    """Arrow UDF: array of features -> the first 8 bytes of the least MD5 of `feature_seed` for the seeds 1 to n, in
+    a row; null for a text without features."""
+
+    @F.pandas_udf("binary")
+    def run(features: pd.Series) -> pd.Series:
+        from hashlib import md5
+
+        seeds = [f"_{s}".encode() for s in range(1, n + 1)]
+
+        def one(words: list[bytes]) -> bytes:
+            raw = np.frombuffer(b"".join(md5(w + s).digest()[:8] for w in words for s in seeds), ">u8")
+            return raw.reshape(len(words), n).min(0).astype(">u8").tobytes()
+
+        return pd.Series([one([w.encode() for w in f]) if f is not None and len(f) else None for f in features], dtype="object")
+
+    return run
 
 
 def code_tokens(text: Column) -> Column:
@@ -94,25 +109,30 @@ def portable_simhash(features: Column, bits: int = 32) -> Column:
     return let(F.transform(features, digest), one)
 
 
-def simhash(bits: int = 64):
-    """Arrow UDF: array of features -> SimHash as a bit string, high bit first; equal to
-    `portable_simhash`, but the votes of all bits are added up in NumPy."""
+def simhash(features: list[str] | None, bits: int = 64) -> str:
+    """SimHash as a bit string, high bit first; equal to `portable_simhash`, but the votes of all bits are added
+    up in NumPy."""
+    from hashlib import md5
 
-    @F.pandas_udf("string")
-    def votes(features: pd.Series) -> pd.Series:
-        from hashlib import md5
+    if features is None or not len(features):
+        return "1" * bits
+    raw = np.frombuffer(b"".join(md5(x.encode()).digest()[: bits // 8] for x in features), np.uint8)
+    ones = np.unpackbits(raw.reshape(len(features), -1), axis=1).sum(0, dtype=np.int64)
+    return "".join("1" if v else "0" for v in (2 * ones >= len(features)))
+
+
+def simhashed(rows: DataFrame, features: str = "features", bits: int = 64) -> DataFrame:
+    """Rows with `fp` in place of their features, which go from the JVM to the votes a batch at a time and are
+    never written."""
+    keep = [c for c in rows.columns if c != features]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prints = pa.array([simhash(f, bits) for f in b.column(len(keep)).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], prints], [*keep, "fp"])
 
-        out = []
-        for f in features:
-            if f is None or not len(f):
-                out.append("1" * bits)
-                continue
-            raw = np.frombuffer(b"".join(md5(x.encode()).digest()[: bits // 8] for x in f), np.uint8)
-            ones = np.unpackbits(raw.reshape(len(f), -1), axis=1).sum(0, dtype=np.int64)
-            out.append("".join("1" if v else "0" for v in (2 * ones >= len(f))))
-        return pd.Series(out)
-
-    return votes
+    kept = rows.select(*keep, features)
+    return kept.mapInArrow(run, StructType([*(kept.schema[c] for c in keep), StructField("fp", StringType())]))
 
 
 SYNONYMS = {

@@ -58,31 +58,57 @@ class _Python:
 
 #: Opening lines of functions by family; the body is what the braces (or `end`) enclose.
 HEADS = {
-    "braces": re.compile(r"(?:\bfunction\s+|\bfunc\s+(?:\([^)]*\)\s*)?|\bfn\s+|\bfun\s+|\bdef\s+)(?P<a>\w+)|(?P<b>\w+)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>|^\s*(?:[\w<>\[\],*&]+\s+)+(?P<c>\w+)\s*\([^;{]*\)\s*(?:const\s*)?\{|^\s*(?P<d>\w+)\s*\(\)\s*\{"),
+    "braces": re.compile(r"(?m)(?:\bfunction\s+|\bfunc\s+(?:\([^)]*\)\s*)?|\bfn\s+|\bfun\s+|\bdef\s+)(?P<a>\w+)|(?P<b>\w+)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>|^\s*(?:[\w<>\[\],*&]+\s+)+(?P<c>\w+)\s*\([^;{]*\)\s*(?:const\s*)?\{|^\s*(?P<d>\w+)\s*\([^;{}]*\)\s*(?::\s*[\w<>\[\], |]+)?\{"),
     "end": re.compile(r"\bdef\s+(?:self\.)?(?P<a>[\w?!]+)|\bfunction\s+(?P<b>[\w.:]+)"),
 }
 _CONTROL = {"if", "for", "while", "switch", "catch", "else", "return", "foreach"}
 
 
+#: Comments and strings of languages with braces; what they hold is no code.
+_NO_CODE = re.compile(r"/\*.*?\*/|//[^\n]*|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`|'(?:\\.|[^'\\\n])*'", re.S)
+_CLASS = re.compile(r"\b(?:class|struct|interface|trait|impl|enum)\s+(\w+)[^;{}()]*\{")
+
+
+def code_only(text: str) -> str:
+    """The text with comments and strings blank, every character in its place."""
+    return _NO_CODE.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
+
+
+def brace_end(code: str, opening: int) -> int:
+    """Place behind the brace that closes the one at `opening`; -1 if none does."""
+    depth = 0
+    for m in re.compile(r"[{}]").finditer(code, opening):
+        depth += 1 if m.group() == "{" else -1
+        if not depth:
+            return m.end()
+    return -1
+
+
 class _Braces:
-    """Functions of languages with braces, by matching them; strings and comments are not parsed."""
+    """Functions and methods of languages with braces, by matching them outside of strings and comments. A
+    method has the innermost class around it as its class."""
 
     def eval(self, content: str) -> Iterator[tuple]:
-        lines = (content or "").split("\n")
-        for i, line in enumerate(lines):
-            m = HEADS["braces"].search(line)
+        text = content or ""
+        code, lines = code_only(text), text.split("\n")
+        starts = [0]
+        for line in lines:
+            starts.append(starts[-1] + len(line) + 1)
+        owners = [(m.start(), brace_end(code, m.end() - 1), m.group(1)) for m in _CLASS.finditer(code)]
+        for i in range(len(lines)):
+            m = HEADS["braces"].search(code, starts[i], starts[i + 1] - 1)
             name = next((g for g in m.groups() if g), None) if m else None
             if not name or name in _CONTROL:
                 continue
-            depth, opened = 0, False
-            for j in range(i, len(lines)):
-                depth += lines[j].count("{") - lines[j].count("}")
-                opened |= "{" in lines[j]
-                if not opened and (j > i + 2 or ";" in lines[j]):
-                    break
-                if opened and depth <= 0:
-                    yield i + 1, j + 1, "\n".join(lines[i : j + 1]), name, None
-                    break
+            opening, stop = code.find("{", m.start()), code.find(";", m.start())
+            if opening < 0 or 0 <= stop < opening or code.count("\n", m.start(), opening) > 2:
+                continue
+            end = brace_end(code, opening)
+            if end < 0:
+                continue
+            last = text.count("\n", 0, end)
+            inside = [(a, n) for a, b, n in owners if a < m.start() < b]
+            yield i + 1, last + 1, "\n".join(lines[i : last + 1]), name, max(inside)[1] if inside else None
 
 
 class _Ends:
@@ -125,15 +151,33 @@ class _Tags:
 
 
 class _Rules:
-    """Style rules and at-rules that span lines."""
+    """Style rules and at-rules that span lines, nested ones too."""
 
     def eval(self, content: str) -> Iterator[tuple]:
         text = content or ""
-        for m in re.finditer(r"([^{}]+)\{[^{}]*\}", text):
-            start = m.start() + len(m.group(1)) - len(m.group(1).lstrip())
-            a, b = text.count("\n", 0, start) + 1, text.count("\n", 0, m.end()) + 1
-            if b > a:
-                yield a, b, text[start : m.end()], m.group(1).strip()[:50], None
+        code = code_only(text)
+        for m in re.finditer(r"[^{};]+\{", code):
+            end = brace_end(code, m.end() - 1)
+            start = m.start() + len(m.group()) - len(m.group().lstrip())
+            a, b = text.count("\n", 0, start) + 1, text.count("\n", 0, end) + 1
+            if end > 0 and b > a:
+                yield a, b, text[start:end], text[start : m.end() - 1].strip()[:50], None
+
+
+class _Sections:
+    """Parts of documents and data files that span lines: from a heading, a table's name or a key of the outer
+    level to the next one."""
+
+    HEAD = re.compile(r"#{1,6}\s+(?P<a>\S.*)|\[+(?P<b>[^\]]+)\]+\s*$|(?P<c>[\w.-]+):(?:\s|$)|(?:  |\t)\"(?P<d>[^\"]+)\"\s*:")
+
+    def eval(self, content: str) -> Iterator[tuple]:
+        lines = (content or "").split("\n")
+        heads = [(i, next(g for g in m.groups() if g)) for i, x in enumerate(lines) if (m := self.HEAD.match(x))]
+        for (i, name), (j, _) in zip(heads, [*heads[1:], (len(lines), "")], strict=True):
+            while j > i + 1 and not lines[j - 1].strip():
+                j -= 1
+            if j > i + 1:
+                yield i + 1, j, "\n".join(lines[i:j]), name.strip()[:50], None
 
 
 class _Statements:
@@ -153,7 +197,7 @@ class _Statements:
 
 
 _BRACED = ("javascript", "typescript", "java", "c", "cpp", "csharp", "php", "go", "rust", "kotlin", "swift", "scala", "objc", "bash")
-EXTRACTORS: dict[str, type] = {"python": _Python, **dict.fromkeys(_BRACED, _Braces), "ruby": _Ends, "lua": _Ends, **dict.fromkeys(("html", "xml", "svelte", "vue"), _Tags), "css": _Rules, **dict.fromkeys(("sql", "graphql", "dockerfile", "make", "nginx", "vim"), _Statements)}
+EXTRACTORS: dict[str, type] = {"python": _Python, **dict.fromkeys(_BRACED, _Braces), "ruby": _Ends, "lua": _Ends, **dict.fromkeys(("html", "xml", "svelte", "vue"), _Tags), "css": _Rules, **dict.fromkeys(("json", "yaml", "toml", "markdown"), _Sections), **dict.fromkeys(("sql", "graphql", "dockerfile", "make", "nginx", "vim"), _Statements)}
 
 
 def register_extractor(language: str, handler: type) -> None:

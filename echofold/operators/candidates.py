@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echofold.functions.similarity import intent_score, signature_match
-from echofold.functions.text import PERMUTATIONS
+from echofold.functions.text import PERMUTATIONS, minhash
 from echofold.operators.graph import written
 
 BANDS = 26  # 25 of 128 places may differ at 0.8, so one of 26 bands is whole: no pair is missed
@@ -20,27 +20,34 @@ BANDS = 26  # 25 of 128 places may differ at 0.8, so one of 26 bands is whole: n
 def signature_classes(rows: DataFrame, key: str, signature: str) -> tuple[DataFrame, DataFrame]:
     """(classes: class_id, signature, n; members: key, class_id): equal signatures are one class, so copies
     never form pairs. The class is named after its least key."""
-    digest = F.md5(F.array_join(signature, ""))
+    digest = F.md5(signature)
     named = written(rows.select(F.col(key).alias("key"), F.col(signature).alias("signature"), digest.alias("digest")), "signatures")
     classes = named.groupBy("digest").agg(F.min("key").alias("class_id"), F.first("signature").alias("signature"), F.count("*").alias("n"))
     members = named.select("key", "digest").join(classes.select("digest", "class_id"), "digest").select("key", "class_id")
     return classes.select("class_id", "signature", "n"), members
 
 
+def signed(rows: DataFrame, key: str, features: str) -> DataFrame:
+    """(key, signature) of rows with features; a signature is computed once per distinct list of features."""
+    rows = written(rows.select(F.col(key).alias("key"), F.col(features).alias("features")), "features")
+    some = rows.select("features").distinct().withColumn("signature", minhash()("features")).filter("signature IS NOT NULL")
+    return rows.join(some, "features").select("key", "signature")
+
+
 def minhash_pairs(classes: DataFrame, threshold: float = 0.8, other: DataFrame | None = None) -> DataFrame:
     """(l, r, similarity) of classes whose signatures agree in at least `threshold` of the places.
     Bands are wide enough that an equal band follows from the threshold; candidates are then checked."""
     wrong = PERMUTATIONS - int(np.ceil(round(threshold * PERMUTATIONS, 6)))
     n = wrong + 1
     edges = [round(i * PERMUTATIONS / n) for i in range(n + 1)]
-    bands = F.array(*[F.xxhash64(F.lit(i), F.array_join(F.slice("signature", a + 1, b - a), "")) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))])
+    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("signature", 8 * a + 1, 8 * (b - a))) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))])
     keyed = lambda df, s: df.select(F.col("class_id").alias(s), F.explode(bands).alias("band"))
     right = classes if other is None else other
     met = keyed(classes, "l").join(keyed(right, "r"), "band")
     met = (met.filter(F.col("l") < F.col("r")) if other is None else met).select("l", "r").distinct()
     named = lambda df, s: df.select(F.col("class_id").alias(f"{s}_id"), F.col("signature").alias(f"{s}_sig"))
     both = met.join(named(classes, "l"), F.col("l") == F.col("l_id")).join(named(right, "r"), F.col("r") == F.col("r_id"))
-    return both.withColumn("similarity", signature_match(F.col("l_sig"), F.col("r_sig"))).filter(F.col("similarity") >= threshold).select("l", "r", "similarity")
+    return both.withColumn("similarity", signature_match()("l_sig", "r_sig")).filter(F.col("similarity") >= threshold).select("l", "r", "similarity")
 
 
 def band_pairs(rows: DataFrame, fingerprint: str, width: int, bands: int = 4, min_bands: int = 2, max_gap: int = 4) -> DataFrame:
@@ -79,54 +86,64 @@ def term_pairs(profiles: DataFrame, threshold: float = 0.84, floor: float | None
     return both.filter(strong).withColumn("similarity", intent_score(field("l"), field("r"))).filter(F.col("similarity") >= floor).select("l", "r", "similarity")
 
 
-def cosine_pairs(vectors: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
-    """(l, r, similarity rounded to 6) of all pairs from `threshold` on. Exact, so every block of `block`
-    vectors meets every other once, as one matrix product; blocks are spread over the cluster by pairs of
-    block numbers. For corpora where that square is too much, take `knn` with a query set."""
-    every = _blocks(vectors, block)
-    n = every.agg(F.max("b")).first()[0]
-    if n is None:
-        return vectors.sparkSession.createDataFrame([], "l long, r long, similarity double")
-    left = every.select(F.col("b").alias("lb"), F.col("ids").alias("l_ids"), F.col("m").alias("l_m"), F.explode(F.sequence(F.col("b"), F.lit(n))).alias("rb"))
-    right = every.select(F.col("b").alias("rb"), F.col("ids").alias("r_ids"), F.col("m").alias("r_m"))
+CELLS = 16
+
+
+def cosine_pairs(vectors: DataFrame, threshold: float, block: int = 1024, other: DataFrame | None = None) -> DataFrame:
+    """(l, r, similarity rounded to 6) of all pairs from `threshold` on, or with `other` of all pairs across two
+    sets, l from the first. Exact, so every block of `block` vectors meets every other once, as one matrix
+    product. Blocks fall into CELLS groups and two groups meet in one cell, so blocks need no numbers and
+    no task sees all of them. For corpora where that square is too much, take `knn` with a query set."""
+    every = written(_blocks(vectors, block), "vector-blocks")
+    group = lambda: F.pmod(F.xxhash64("uid"), F.lit(CELLS))
+    if other is None:
+        cell = F.explode(F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda x: F.least(F.col("g"), x.cast("long")) * CELLS + F.greatest(F.col("g"), x.cast("long"))))
+        placed = every.withColumn("g", group()).withColumn("cell", cell)
+        side = lambda s: placed.select("cell", *[F.col(c).alias(f"{s}_{c}") for c in ("uid", "g", "ids", "m")])
+        met = side("l").join(side("r"), "cell").filter((F.col("l_uid") <= F.col("r_uid")) & ((F.col("l_g") != F.col("r_g")) | (F.col("cell") == F.col("l_g") * (CELLS + 1))))
+    else:
+        second = written(_blocks(other, block), "vector-blocks")
+        sides = (every.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(CELLS - 1).cast("long"))).alias("cell"), *[F.col(c).alias(f"l_{c}") for c in ("uid", "ids", "m")]), second.select(group().alias("cell"), F.lit(-1).cast("long").alias("r_uid"), F.col("ids").alias("r_ids"), F.col("m").alias("r_m")))
+        met = sides[0].join(sides[1], "cell")
 
     def product(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.itertuples():
                 a, b = np.asarray(r.l_ids), np.asarray(r.r_ids)
-                s = np.frombuffer(r.l_m, np.float64).reshape(len(a), -1) @ np.frombuffer(r.r_m, np.float64).reshape(len(b), -1).T
+                s = np.round(np.frombuffer(r.l_m, np.float64).reshape(len(a), -1) @ np.frombuffer(r.r_m, np.float64).reshape(len(b), -1).T, 6)
                 i, j = np.nonzero(s >= threshold)
-                keep = a[i] != b[j] if r.lb != r.rb else a[i] < b[j]
-                i, j = i[keep], j[keep]
-                yield pd.DataFrame({"l": np.minimum(a[i], b[j]), "r": np.maximum(a[i], b[j]), "similarity": np.round(s[i, j], 6)})
+                x, y = a[i], b[j]
+                if r.r_uid != -1:  # one set
+                    keep = x < y if r.l_uid == r.r_uid else x != y
+                    i, j, x, y = i[keep], j[keep], np.minimum(x, y)[keep], np.maximum(x, y)[keep]
+                yield pd.DataFrame({"l": x, "r": y, "similarity": s[i, j]})
 
-    return left.join(right, "rb").select("lb", "rb", "l_ids", "l_m", "r_ids", "r_m").mapInPandas(product, "l long, r long, similarity double")
+    return met.select("l_uid", "r_uid", "l_ids", "l_m", "r_ids", "r_m").mapInPandas(product, "l long, r long, similarity double")
 
 
 def _blocks(vectors: DataFrame, block: int) -> DataFrame:
-    """(b, ids, m): unit vectors in blocks of bounded size, float64, any order."""
+    """(uid, ids, m): unit vectors in blocks of bounded size, float64, any order."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        uid = TaskContext.get().partitionId() << 32
         for batch in batches:
             for i in range(0, batch.num_rows, block):
                 part = batch.slice(i, block)
                 m = np.array(part.column(1).to_pylist(), np.float64)
                 m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([m.tobytes()])], ["ids", "m"])
+                yield pa.RecordBatch.from_arrays([pa.array([uid]), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([m.tobytes()])], ["uid", "ids", "m"])
+                uid += 1
 
-    packed = vectors.select("id", "vector").filter("vector IS NOT NULL").mapInArrow(pack, "ids array<long>, m binary")
-    # blocks are few; numbering them needs their order only, not their place
-    return packed.select(F.row_number().over(Window.orderBy(F.col("ids")[0])).alias("b"), "ids", "m")
+    return vectors.select("id", "vector").filter("vector IS NOT NULL").mapInArrow(pack, "uid long, ids array<long>, m binary")
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float | None = None, block: int = 2048) -> DataFrame:
     """(query, neighbour, similarity, rank): the k nearest of every query by cosine. Queries travel in
-    blocks to every block of vectors, each of which answers with its k best."""
-    stored = _blocks(vectors, block)
-    n = stored.agg(F.max("b")).first()[0]
-    if n is None:
-        return vectors.sparkSession.createDataFrame([], "query long, neighbour long, similarity double, rank int")
-    asked = _blocks(queries, block).select(F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("b"))
+    blocks to every group of blocks of vectors, each block of which answers with its k best."""
+    stored = _blocks(vectors, block).withColumn("cell", F.pmod(F.xxhash64("uid"), F.lit(CELLS)))
+    asked = _blocks(queries, block).select(F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(CELLS - 1).cast("long"))).alias("cell"))
 
     def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -140,7 +157,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float |
                 out = pd.DataFrame({"query": q[row], "neighbour": v[top], "similarity": s[row, top]})
                 yield out[out["similarity"] >= (-1.5 if threshold is None else threshold)]
 
-    met = asked.join(stored, "b").select("q_ids", "q_m", "ids", "m").mapInPandas(nearest, "query long, neighbour long, similarity double")
+    met = asked.join(stored, "cell").select("q_ids", "q_m", "ids", "m").mapInPandas(nearest, "query long, neighbour long, similarity double")
     best = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")
     return met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echofold.functions.text import component_root, path_parts
+from echofold.operators.grouping import ranked
 
 PUBLISHED = "assets build dist httpdocs public static www".split()
 ASSETS = [s for s in PUBLISHED if s not in ("build", "dist")]
@@ -110,14 +111,13 @@ def common_directory(files: Column) -> Column:
 
 def suggestions(groups: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
     """One row per group worth a change, with the rank it has among all groups."""
-    order = Window.orderBy(F.desc("impact"), "group_id")
     facts = members.groupBy(F.col("group_id").alias("m_id")).agg(
         F.array_sort(F.collect_set("file")).alias("files"),
         F.countDistinct("class_name").alias("n_classes"),
         F.countDistinct(F.when(F.instr("file", "/") > 0, F.substring_index("file", "/", 1))).alias("n_packages"),
     )
     kind = classes.select(F.col("group_id").alias("c_id"), "provenance", "actionability")
-    all_ = groups.withColumn("priority", F.row_number().over(order)).join(facts, F.col("group_id") == F.col("m_id")).join(kind, F.col("group_id") == F.col("c_id"))
+    all_ = ranked(groups).join(facts, F.col("group_id") == F.col("m_id")).join(kind, F.col("group_id") == F.col("c_id"))
     keep = all_.filter((F.col("saved_lines") > 0) & (F.col("actionability") != "generated") & (F.col("provenance") != "delegating_wrappers"))
     where = common_directory(F.col("files"))
     name = F.coalesce(F.nullif("name", F.lit("")), F.concat(F.lit("shared_block_"), F.substring("group_id", 1, 8)))

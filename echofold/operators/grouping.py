@@ -6,16 +6,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from echofold.functions.syntax import syntax_shape
 from echofold.functions.text import masked, normalized, short_hash
 from echofold.operators.graph import components, written
 
 MEMBER = ["group_id", "duplicate_type", "file", "line_start", "line_end", "function_name"]
 
 
-def hashed(blocks: DataFrame) -> DataFrame:
-    """Blocks with exact_hash and structural_hash, the text being normalised once."""
+def hashed(blocks: DataFrame, syntax: bool = False) -> DataFrame:
+    """Blocks with exact_hash and structural_hash, the text being normalised once. The structure is the text
+    with its literals masked; with `syntax`, of texts that parse as Python it is the shape of the tree, so
+    other names make no difference."""
     norm = blocks.withColumn("norm", normalized(F.col("text")))
-    return norm.withColumns({"exact_hash": short_hash(F.col("norm")), "structural_hash": short_hash(masked(F.col("norm")))})
+    if not syntax:
+        return norm.withColumns({"exact_hash": short_hash(F.col("norm")), "structural_hash": short_hash(masked(F.col("norm")))})
+    shaped = norm.withColumn("_shape", syntax_shape()("text"))
+    both = shaped.withColumns({"exact_hash": short_hash(F.col("norm")), "structural_hash": short_hash(F.coalesce("_shape", masked(F.col("norm"))))})
+    return both.drop("_shape")
 
 
 def members_of(blocks: DataFrame, key: str, kind: str) -> DataFrame:
@@ -51,15 +58,30 @@ def summarized(members: DataFrame, similarity: Column | None = None) -> DataFram
     return g.select("group_id", "duplicate_type", "occurrences", "n_files", F.col("f.function_name").alias("name"), lines.alias("total_lines"), saved.alias("saved_lines"), "similarity", (saved * F.col("similarity")).alias("impact"))
 
 
+def in_order(groups: DataFrame) -> DataFrame:
+    """The groups with `_n`, their rank by impact and then group id, and `_upto`, the lines saved up to them.
+    Groups are sorted over all partitions; ranks and sums run inside a partition and get what comes before it
+    from one row a partition, so no task holds all groups."""
+    order = [F.desc("impact"), F.asc("group_id")]
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = written(groups.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranked")
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = spread.withColumns({"_n": F.count("*").over(within), "_upto": F.sum("saved_lines").over(within)})
+    sums = spread.groupBy("_part").agg(F.count("*").alias("_rows"), F.sum("saved_lines").alias("_lines"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    sums = sums.withColumnRenamed("_part", "_p").select("_p", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_s0"))
+    both = local.join(sums, F.col("_part") == F.col("_p"))
+    return both.withColumns({"_n": F.col("_n") + F.col("_n0"), "_upto": F.col("_upto") + F.col("_s0")}).drop("_part", "_p", "_n0", "_s0")
+
+
 def ranked(groups: DataFrame) -> DataFrame:
-    """priority by impact, ties by group id. Groups are few against blocks; one window orders them."""
-    return groups.withColumn("priority", F.row_number().over(Window.orderBy(F.desc("impact"), "group_id")))
+    """priority by impact, ties by group id."""
+    return in_order(groups).withColumn("priority", F.col("_n").cast("int")).drop("_n", "_upto")
 
 
 def bounded(groups: DataFrame, max_groups: int | None = None, max_saved_lines: int | None = None, min_impact: float = 0.0) -> DataFrame:
     """The best groups until a bound is reached; the group that reaches it is kept."""
-    order = Window.orderBy(F.desc("impact"), "group_id")
-    ran = groups.filter(F.col("impact") >= min_impact).withColumns({"_n": F.row_number().over(order), "_upto": F.sum("saved_lines").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    ran = in_order(groups.filter(F.col("impact") >= min_impact))
     if max_groups is not None:
         ran = ran.filter(F.col("_n") <= max_groups)
     if max_saved_lines is not None:

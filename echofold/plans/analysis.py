@@ -35,7 +35,7 @@ def analyze(blocks: DataFrame, config: DedupConfig = DedupConfig(), external: Da
     """Exact, then structural, then (if asked for) fuzzy and MinHash tiers, each over what the earlier ones
     left; subsets are dropped, what remains is classified and ranked. `external` holds the groups of
     another detector and is kept as it is."""
-    hashed = written(grouping.hashed(blocks.filter(F.col("line_count") >= config.min_lines)), "blocks")
+    hashed = written(grouping.hashed(blocks.filter(F.col("line_count") >= config.min_lines), syntax=True), "blocks")
     columns = [*grouping.MEMBER, "class_name", "text", "similarity"]
     one = lambda df: df.withColumn("similarity", F.lit(1.0)).select(columns)
     exact = grouping.exact_members(hashed)
@@ -68,8 +68,9 @@ def _grouped(blocks: DataFrame, stars: DataFrame, kind: str) -> DataFrame:
 
 
 def _fuzzy(blocks: DataFrame, config: DedupConfig) -> DataFrame:
-    b = written(_keyed(blocks.filter("function_name IS NOT NULL AND function_name <> ''")).withColumn("features", T.trigrams(T.code_tokens(F.col("text")))), "fuzzy")
-    prints = written(b.select("key", F.lower(F.regexp_extract("file", "\\.([^./]+)$", 1)).alias("suffix"), "line_count", T.simhash(64)("features").alias("fp")), "prints")
+    b = _keyed(blocks.filter("function_name IS NOT NULL AND function_name <> ''"))
+    suffix = F.lower(F.regexp_extract("file", "\\.([^./]+)$", 1)).alias("suffix")
+    prints = written(T.simhashed(b.select("key", suffix, "line_count", T.trigrams(T.code_tokens(F.col("text"))).alias("features"))), "prints")
     same = prints.groupBy("suffix", "line_count", "fp").agg(F.min("key").alias("l"), F.collect_set("key").alias("rs")).filter(F.size("rs") > 1)
     stars = same.select("l", F.explode("rs").alias("r")).filter("l <> r")
     met = candidates.band_pairs(prints, "fp", 16).select("l", "r").unionByName(stars).distinct()
@@ -82,8 +83,8 @@ def _fuzzy(blocks: DataFrame, config: DedupConfig) -> DataFrame:
 
 
 def _near(blocks: DataFrame, config: DedupConfig) -> DataFrame:
-    b = _keyed(blocks).withColumn("signature", T.minhash(T.minhash_features(T.tokens(F.col("norm"))))).filter("signature IS NOT NULL")
-    classes, members = candidates.signature_classes(b, "key", "signature")
+    b = _keyed(blocks).select("key", T.minhash_features(T.tokens(F.col("norm"))).alias("features"))
+    classes, members = candidates.signature_classes(candidates.signed(b, "key", "features"), "key", "signature")
     pairs = candidates.minhash_pairs(classes, config.minhash_threshold)
     same = members.filter("key <> class_id").select(F.col("class_id").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("similarity"))
     return _grouped(blocks, grouping.star_clusters(pairs.selectExpr("l AS a", "r AS b", "similarity").unionByName(same)), "near_duplicate")
@@ -92,12 +93,12 @@ def _near(blocks: DataFrame, config: DedupConfig) -> DataFrame:
 def compare_corpora(a: DataFrame, b: DataFrame, config: DedupConfig = DedupConfig(), min_similarity: float = 0.75) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(matches, community summary, decision) of two block tables: the structural tier, then MinHash over
     the places it has not matched."""
-    ha, hb = (written(_keyed(grouping.hashed(x.filter(F.col("line_count") >= config.min_lines))), "corpus") for x in (a, b))
+    ha, hb = (written(_keyed(grouping.hashed(x.filter(F.col("line_count") >= config.min_lines), syntax=True)), "corpus") for x in (a, b))
     first = compare.structural_matches(ha, hb)
     columns = ["file_a", "file_b", "function_a", "function_b", "lines_a", "lines_b", "similarity", "similarity_type"]
     first = written(first.select(columns), "structural-matches")
-    signed = lambda df: df.filter(F.col("line_count") >= config.minhash_min_lines).withColumn("signature", T.minhash(T.minhash_features(T.tokens(F.col("norm"))))).filter("signature IS NOT NULL")
-    (ca, ma), (cb, mb) = (candidates.signature_classes(signed(x), "key", "signature") for x in (ha, hb))
+    features = lambda df: df.filter(F.col("line_count") >= config.minhash_min_lines).select("key", T.minhash_features(T.tokens(F.col("norm"))).alias("features"))
+    (ca, ma), (cb, mb) = (candidates.signature_classes(candidates.signed(features(x), "key", "features"), "key", "signature") for x in (ha, hb))
     pairs = candidates.minhash_pairs(ca, min_similarity, cb)
     side = lambda df, m, s: m.join(df, "key").select(F.col("class_id").alias(f"{s}_class"), F.col("file").alias(f"file_{s}"), F.col("function_name").alias(f"function_{s}"), F.struct(F.col("line_start").alias("start"), F.col("line_end").alias("end")).alias(f"lines_{s}"))
     near = pairs.join(side(ha, ma, "a"), F.col("l") == F.col("a_class")).join(side(hb, mb, "b"), F.col("r") == F.col("b_class")).withColumn("similarity_type", F.lit("near_duplicate"))

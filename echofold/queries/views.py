@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from echofold.operators import grouping
 from echofold.operators.blocks import whole_files
+from echofold.operators.graph import written
 from echofold.operators.grouping import hashed
 
 
-
 def file_name() -> Column:
     """A document's path: source/id.lang."""
     return F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), F.col("lang"))
@@ -38,8 +38,10 @@ def url_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(members, groups) of exact duplicates among documents."""
-    members = grouping.exact_members(blocks(spark, sf_dir)).select(*grouping.MEMBER, "class_name", "line_count", "text", "norm")
+    """(members, groups) of exact duplicates among documents. The hashes are written once without the texts; so
+    are the members, which the callers read several times."""
+    b = written(blocks(spark, sf_dir).drop("text", "norm", "structural_hash"), "hashes")
+    members = written(grouping.exact_members(b).select(*grouping.MEMBER, "class_name", "line_count"), "members")
     return members, grouping.summarized(members)
 
 

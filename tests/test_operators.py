@@ -1,5 +1,6 @@
 import difflib
 import math
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,8 +35,9 @@ def test_minhash_features(spark):
 
 def test_simhash_forms_agree(spark):
     df = spark.createDataFrame([(["x y z", "q", "q"],), (["a"],), ([],)], "f array<string>")
-    rows = df.select(T.portable_simhash(F.col("f"), 32).alias("a"), T.simhash(32)("f").alias("b")).collect()
-    assert [r["a"] for r in rows] == [r["b"] for r in rows]
+    rows = df.select(T.portable_simhash(F.col("f"), 32).alias("a"), "f").collect()
+    assert [r["a"] for r in rows] == [T.simhash(r["f"], 32) for r in rows]
+    assert [r["fp"] for r in T.simhashed(df.withColumnRenamed("f", "features"), bits=32).collect()] == [r["a"] for r in rows]
 
 
 def test_identifier_words(spark):
@@ -132,7 +134,8 @@ def test_minhash_pairs_miss_nothing(spark):
             for j in rng.sample(range(128), k):
                 s[j] = f"{rng.random()}"
             rows.append((f"{i}/{k}", s))
-    classes, _ = candidates.signature_classes(spark.createDataFrame(rows, "key string, sig array<string>"), "key", "sig")
+    packed = [(k, b"".join(struct.pack("<d", float(x)) for x in s)) for k, s in rows]
+    classes, _ = candidates.signature_classes(spark.createDataFrame(packed, "key string, sig binary"), "key", "sig")
     got = {(r["l"], r["r"]) for r in candidates.minhash_pairs(classes, 0.8).collect()}
     want = {(a, b) for a, x in rows for b, y in rows if a < b and sum(p == q for p, q in zip(x, y, strict=True)) >= math.ceil(0.8 * 128)}
     assert got == want and want
@@ -168,6 +171,24 @@ def test_extractors(spark):
     assert not [r for r in got if r["file"] == "bad.py"]
 
 
+def test_braces_in_strings_and_methods():
+    js = 'function a() {\n  let s = "}";\n  // }\n  /* { */\n  return s;\n}\nclass K {\n  go(x) {\n    if (x) {\n      return `{`;\n    }\n  }\n}\n'
+    assert [(r[0], r[1], r[3], r[4]) for r in blocks._Braces().eval(js)] == [(1, 6, "a", None), (8, 12, "go", "K")]
+    css = "@media x {\n  .a {\n    color: red;\n  }\n}\n.b { c: d }\n"
+    assert [(r[0], r[1], r[3]) for r in blocks._Rules().eval(css)] == [(1, 5, "@media x"), (2, 4, ".a")]
+    assert [(r[0], r[1], r[3]) for r in blocks._Sections().eval("# One\ntext\n\n## Two\nmore\n")] == [(1, 2, "One"), (4, 5, "Two")]
+    assert [r[3] for r in blocks._Sections().eval("a:\n  - 1\nb: 2\nc:\n  d: 1\n")] == ["a", "c"]
+    assert [r[3] for r in blocks._Sections().eval('{\n  "x": {\n    "y": 1\n  },\n  "z": 2\n}')] == ["x", "z"]
+
+
+def test_syntax_shapes():
+    from echofold.functions.syntax import shape
+
+    assert shape("def f(a):\n    return a + 1") == shape("async def g(xyz):\n    return xyz + 'q'")
+    assert shape("def f(a):\n    return a + 1") != shape("def f(a):\n    return a - 1")
+    assert shape("a < b") != shape("a > b") and shape("not python (") is None and shape("") is None and shape(None) is None
+
+
 def test_file_filters(spark, tmp_path):
     for p in ("src/a.py", "src/test_a.py", ".git/x.py", "venv/y.py", "src/b.txt", "src/c.min.js", "deep/er/d.js"):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)

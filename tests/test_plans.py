@@ -10,9 +10,10 @@ TAX = "def calculate_{n}({a}):\n    rate = 0.2\n    if {a} > 10:\n        rate =
 
 
 def project(folder, unique=True):
-    for i, name in enumerate(("a", "b", "c")):
+    """Three functions that differ in the name of their parameter only."""
+    for i, (name, value) in enumerate((("a", "amount"), ("b", "value"), ("c", "price"))):
         (folder / f"pkg{i}").mkdir(parents=True)
-        (folder / f"pkg{i}" / f"{name}.py").write_text(TAX.format(n="tax", a="amount"))
+        (folder / f"pkg{i}" / f"{name}.py").write_text(TAX.format(n="tax", a=value))
     if unique:
         (folder / "other.py").write_text("def lonely(x):\n    y = [x]\n    y.append(3)\n    return y\n")
     return str(folder)
@@ -21,7 +22,7 @@ def project(folder, unique=True):
 def test_triplicate_project(spark, tmp_path):
     root = project(tmp_path / "p")
     groups = HANDLERS["find_duplicates"](spark, root).collect()
-    assert [(g["occurrences"], g["name"], g["saved_lines"]) for g in groups] == [(3, "calculate_tax", 16)]
+    assert [(g["duplicate_type"], g["occurrences"], g["name"], g["saved_lines"]) for g in groups] == [("structural", 3, "calculate_tax", 16)]
     assert not HANDLERS["check_project"](spark, root, DedupConfig(gate_groups=0)).first()["passed"]
     text = HANDLERS["project_report"](spark, root, "toon")
     assert "calculate_tax" in text and "DUPLICATES[1]" in text and "pkg0/a.py:1-8" in text
@@ -39,7 +40,8 @@ def test_reports_round_trip(spark, tmp_path):
 
 
 def test_fuzzy_tier(spark):
-    rows = [(f"m/{k}.py", 1, 8, TAX.format(n=k, a="amount").replace("'tax'", f"'tax of {k}'"), f"calculate_{k}", None, 8) for k in ("one", "two")]
+    more = "".join(f"    step{i} = total * rate + offset(step{i})\n" for i in range(20))
+    rows = [(f"m/{k}.py", 1, 28, TAX.format(n=k, a="amount").replace("    return total\n", more + "    return total\n").replace("> 10", "> 10" if k == "one" else ">= 10"), f"calculate_{k}", None, 28) for k in ("one", "two")]
     blocks = spark.createDataFrame(rows, "file string, line_start int, line_end int, text string, function_name string, class_name string, line_count int")
     assert analyze(blocks).groups.count() == 0
     (g,) = analyze(blocks, DedupConfig(fuzzy=True)).groups.collect()
@@ -51,7 +53,7 @@ def test_compare(spark, tmp_path):
     matches, _, decision = HANDLERS["compare_projects"](spark, a, b)
     assert matches.count() == 9 and decision.first()["decision"] in ("merge_projects", "extract_library")
     schema = "file string, line_start int, line_end int, text string, function_name string, class_name string, line_count int"
-    x, y = (spark.createDataFrame([(f"{k}.py", 1, 4, f"def {k}():\n    {k} = 1\n    z\n    return {k}", k, None, 4)], schema) for k in ("p", "q"))
+    x, y = (spark.createDataFrame([(f"{k}.py", 1, 4, f"def {k}():\n    {k} = 1\n    z\n    return {k if k == 'p' else [k]}", k, None, 4)], schema) for k in ("p", "q"))
     m, _, d = compare_corpora(x, y)
     assert m.count() == 0 and d.first()["decision"] == "keep_separate"
 
@@ -73,6 +75,25 @@ def test_stream_merges_state(spark, tmp_path):
     assert [g[0][1] for _, g in told if g] == [2, 3]
 
 
+def test_state_survives_restart_and_replay(spark, tmp_path):
+    from datetime import datetime
+
+    def batch(*rows):
+        return spark.createDataFrame([(f, c, datetime(2024, 1, 1)) for f, c in rows], "file_path string, content string, ts timestamp")
+
+    folder = str(tmp_path / "state")
+    StateMerger(folder)(batch(("a", "1"), ("b", "2"), ("c", "3")), 0)
+    told = []
+    later = StateMerger(folder, lambda df, n: told.append(df.count()))  # as after a restart
+    for _ in range(2):  # the batch is run again
+        later(batch(("d", "1"), ("b", "9")), 1)
+        state = {r["file_path"]: r["file_hash"] for r in StateMerger(folder).state(spark).collect()}
+        assert set(state) == {"a", "b", "c", "d"} and state["a"] == state["d"] != state["b"]
+    assert told == [1, 1]
+    StateMerger(folder)(batch(("e", "5")), 2)
+    assert later.state(spark).count() == 5
+
+
 def test_windowed_activity(spark, tmp_path):
     from datetime import datetime
 
