@@ -47,7 +47,7 @@ def normalized_html(html: Column) -> Column:
     out = F.regexp_replace(html, "id\\s*=\\s*[\"'][^\"']+[\"']", "")
     for family in CLASS_FAMILIES:
         out = F.regexp_replace(out, f"(class\\s*=\\s*[\"'][^\"']*?)\\b{family}-[\\w-]+", f"$1{family}-*")
-    out = F.regexp_replace(out, f"(class\\s*=\\s*[\"'](?:[^\"']*?\\s)?)(?:{'|'.join(VARIANTS)})(?=[\\s\"'])", "$1*-variant")
+    out = F.regexp_replace(out, f"(class\\s*=\\s*[\"'](?:[^\"']*?\\s)?)(?:{'|'.join(VARIANTS)})([\\s\"'])", "$1*-variant$2")
     out = F.regexp_replace(out, ">\\s+<", "><")
     return F.trim(F.regexp_replace(out, "(\\w+)\\s*=\\s*[\"']([^\"']*)[\"']", '$1="$2"'))
 
@@ -139,13 +139,13 @@ def complexity(text: Column) -> Column:
 
 
 LANGUAGE_NAMES = r"(?i)(?:function|def|func|fn)\s+(\w+)"
-_TYPES = "(?i)(?:{})\\s+(\\w+)".format(_any("class struct interface trait"))
+TYPE_NAMES = "(?i)(?:{})\\s+(\\w+)".format(_any("class struct interface trait"))
 
 
 def metadata(text: Column) -> dict[str, Column]:
     """First names of functions, types, selectors, tags and keys."""
     some = lambda pattern: F.array_join(F.slice(F.regexp_extract_all(text, F.lit(pattern), 1), 1, 5), ",")
-    return {"functions": some(LANGUAGE_NAMES), "classes": some(_TYPES), "selectors": some("([.#]?[\\w-]+)\\s*\\{"), "tags": some("<(\\w+)"), "keys": some("[\"']?(\\w+)[\"']?\\s*:")}
+    return {"functions": some(LANGUAGE_NAMES), "classes": some(TYPE_NAMES), "selectors": some("([.#]?[\\w-]+)\\s*\\{"), "tags": some("<(\\w+)"), "keys": some("[\"']?(\\w+)[\"']?\\s*:")}
 
 
 COMMENTS = {"python": "#[^\\n]*", "c": "(?s)/\\*.*?\\*/|//[^\\n]*", "sql": "--[^\\n]*", "html": "(?s)<!--.*?-->"}
@@ -158,5 +158,5 @@ def universal_normal(text: Column, language: Column) -> Column:
         out = F.when(language == name, F.regexp_replace(text, pattern, " ")).otherwise(out)
     out = F.regexp_replace(out, "\"[^\"]*\"|'[^']*'", "STRING_LITERAL")
     out = F.regexp_replace(out, "\\b[0-9]+(\\.[0-9]+)?\\b", "NUMBER")
-    out = F.when(language.isin("python", "c"), F.regexp_replace(out, "\\b[a-z_][a-z0-9_]*\\b(?=\\s*=[^=])", "IDENT")).otherwise(out)
+    out = F.when(language.isin("python", "c"), F.regexp_replace(out, "\\b[a-z_][a-z0-9_]*(\\s*=[^=])", "IDENT$1")).otherwise(out)
     return F.trim(F.regexp_replace(out, "\\s+", " "))

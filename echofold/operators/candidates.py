@@ -193,3 +193,21 @@ def component_pairs(signatures: DataFrame, threshold: float) -> DataFrame:
     same = F.lit(True) if "structure_hash" in on else F.col("l_structure_hash") == F.col("r_structure_hash")
     score = component_similarity(same, map_similarity(F.col("l_attributes"), F.col("r_attributes")), levenshtein_ratio(F.col("l_text_content"), F.col("r_text_content")), map_similarity(F.col("l_styles"), F.col("r_styles")))
     return met.withColumn("similarity", F.round(score, 6)).filter(F.col("similarity") >= threshold).select(F.col("l_key").alias("l"), F.col("r_key").alias("r"), "similarity")
+
+
+def universal_pairs(signatures: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """(l, r, similarity) of signatures (key, component_type, family, structure_hash, patterns, metadata) from
+    `threshold` on, which must be .7 at least: then a pair has one structure, or type, family, patterns and
+    metadata in common, and both are equi-joins. Equal signatures are one point, named after its least key."""
+    from echofold.functions.similarity import jaccard, universal_similarity
+
+    if threshold < 0.7:
+        raise ValueError("pairs below .7 need have nothing in common to join on")
+    fields = ["component_type", "family", "structure_hash", "patterns", "metadata"]
+    points = written(signatures.groupBy(*fields).agg(F.min("key").alias("key")), "points")
+    side = lambda s: points.select(*[F.col(c).alias(f"{s}_{c}") for c in ("key", *fields)])
+    same = lambda names: [F.col(f"l_{c}").eqNullSafe(F.col(f"r_{c}")) for c in names]
+    met = [side("l").join(side("r"), same(on)).filter("l_key < r_key") for on in (["structure_hash"], ["component_type", "family", "patterns", "metadata"])]
+    both = met[0].unionByName(met[1]).dropDuplicates(["l_key", "r_key"])
+    parts = [F.col(f"l_{c}").eqNullSafe(F.col(f"r_{c}")) for c in fields[:3]] + [jaccard(F.col(f"l_{c}"), F.col(f"r_{c}")) for c in fields[3:]]
+    return both.select(F.col("l_key").alias("l"), F.col("r_key").alias("r"), F.round(universal_similarity(*parts), 6).alias("similarity")).filter(F.col("similarity") >= threshold)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from echofold.operators import candidates, compare, grouping, state
 from echofold.operators.blocks import whole_files
 from echofold.operators.graph import written
-from echofold.queries.views import BLOCKS, documents, exact, file_name, table
+from echofold.queries.views import BLOCKS, EXACT, documents, exact, file_name, table
 
 _EVEN = "CAST(regexp_extract(file, '^src([0-9]+)/', 1) AS INT) % 2 = 0"
 
@@ -20,7 +20,7 @@ def cross_corpus_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.cross_corpus_passages(d, b).select(F.col("l").alias("doc_id"), F.col("r").alias("item_id"), "shared")
 
 
-def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     b = grouping.hashed(whole_files(documents(spark, sf_dir), file_name(), F.col("text"))).select("file", "line_start", "line_end", "function_name", "line_count", "structural_hash")
     b = written(b, "halves")
     return b.filter(_EVEN), b.filter(f"NOT ({_EVEN})")
@@ -28,12 +28,12 @@ def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def cross_corpus_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashes that even and odd sources share, with their places on both sides."""
-    return compare.matched_hashes(*_halves(spark, sf_dir))
+    return compare.matched_hashes(*halves(spark, sf_dir))
 
 
 def compare_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What to do about the two halves: a hash they share is one community."""
-    a, b = _halves(spark, sf_dir)
+    a, b = halves(spark, sf_dir)
     shared = compare.matched_hashes(a, b).agg(F.sum(F.col("loc") * (F.col("n_a") + F.col("n_b"))).alias("loc"))
     total = lambda df: df.agg(F.coalesce(F.sum("line_count"), F.lit(0)).alias("n"))
     return compare.recommended(shared, total(a), total(b)).select(F.col("shared_loc").cast("long"), "overlap_percent", "decision", "confidence")
@@ -78,7 +78,7 @@ def ttl_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (cross_corpus_passages, cross_corpus_structural, compare_decision, scan_diff, incremental_misses, cache_upsert, ttl_delete)}
-_HALVES = (
+HALVES = (
     BLOCKS.replace("WHERE line_count >= 3", "")
     + """, halves AS (SELECT *, CAST(regexp_extract(file, '^src([0-9]+)/', 1) AS INT) % 2 = 0 AS even FROM blocks)
 , sides AS (SELECT structural_hash, count(*) FILTER (even) AS n_a, count(*) FILTER (NOT even) AS n_b, min(file) FILTER (even) AS first_a, min(file) FILTER (NOT even) AS first_b, CAST(max(line_end - line_start) AS INTEGER) AS loc FROM halves GROUP BY 1)
@@ -90,11 +90,15 @@ SQL = {
     "cross_corpus_passages": r"""WITH w AS (SELECT 'd' AS t, doc_id AS id, regexp_extract_all(text, '[^ \t\n\r\x0b\x0c]+') AS w FROM documents UNION ALL SELECT 'b', item_id, regexp_extract_all(text, '[^ \t\n\r\x0b\x0c]+') FROM benchmark),
         g AS (SELECT DISTINCT t, id, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT t, id, w, unnest(generate_series(1, len(w) - 7)) AS i FROM w WHERE len(w) >= 8))
         SELECT a.id AS doc_id, b.id AS item_id, count(*) AS shared FROM g a JOIN g b ON a.t = 'd' AND b.t = 'b' AND a.g = b.g GROUP BY 1, 2""",
-    "cross_corpus_structural": f"WITH {_HALVES} SELECT structural_hash, n_a, n_b, first_a, first_b, loc FROM both_sides",
-    "compare_decision": f"""WITH {_HALVES}, t AS (SELECT coalesce((SELECT sum(loc * (n_a + n_b)) FROM both_sides), 0) AS shared, (SELECT sum(line_count) FROM halves) AS n), o AS (SELECT shared, shared::DOUBLE / n AS o FROM t)
+    "cross_corpus_structural": f"WITH {HALVES} SELECT structural_hash, n_a, n_b, first_a, first_b, loc FROM both_sides",
+    "compare_decision": f"""WITH {HALVES}, t AS (SELECT coalesce((SELECT sum(loc * (n_a + n_b)) FROM both_sides), 0) AS shared, (SELECT sum(line_count) FROM halves) AS n), o AS (SELECT shared, shared::DOUBLE / n AS o FROM t)
         SELECT CAST(shared AS BIGINT) AS shared_loc, round(100 * o, 4) AS overlap_percent, CASE WHEN o > 0.60 THEN 'merge_projects' WHEN o > 0.05 THEN 'extract_library' ELSE 'keep_separate' END AS decision,
         CASE WHEN o > 0.60 THEN 0.9::DOUBLE WHEN o > 0.20 THEN 0.8::DOUBLE WHEN o > 0.05 THEN 0.6::DOUBLE ELSE 0.9::DOUBLE END AS confidence FROM o""",
     "incremental_misses": f"WITH {_STATE} SELECT file_path FROM now WHERE (file_path, file_hash) NOT IN (SELECT (file_path, file_hash) FROM old)",
     "cache_upsert": f"WITH {_STATE} SELECT file_path, file_hash FROM now",
     "ttl_delete": f"WITH {_STATE} SELECT file_path, last_scan_time FROM old WHERE last_scan_time >= (SELECT max(last_scan_time) FROM old) - 30 * 86400",
+    # a document is in one exact group, so groups of other ids share no file and none is matched greedily
+    "scan_diff": f"""WITH {EXACT}, runs AS (SELECT group_id, list(file) FILTER (s % 3 <> 0) AS b, list(file) FILTER (s % 4 <> 0) AS a FROM (SELECT *, CAST(regexp_extract(file, '^src([0-9]+)/', 1) AS INT) AS s FROM members) GROUP BY group_id),
+        kept AS (SELECT group_id, coalesce(len(b), 0) > 1 AS was, coalesce(len(a), 0) > 1 AS now, coalesce(len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0)::DOUBLE, 0) >= 0.5 AS fits FROM runs)
+        SELECT group_id, 'unchanged' AS status FROM kept WHERE was AND now AND fits UNION ALL SELECT group_id, 'resolved' FROM kept WHERE was AND NOT (now AND fits) UNION ALL SELECT group_id, 'new' FROM kept WHERE now AND NOT (was AND fits)""",
 }

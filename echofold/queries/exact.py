@@ -32,7 +32,10 @@ def suffix_test_exclude_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = DedupConfig(exclude=("es", "*7", "fr/9*"))
     path = F.regexp_replace("url", "^[a-z]+://[^/]*/|[?#].*$", "")
     p = table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
-    return p.select("page_id", "path", files.excluded(F.col("path"), config.exclude).alias("excluded"), files.is_test(F.concat(F.lit("src/test_"), F.col("path"))).alias("is_test"), files.language(F.concat("path", F.lit(".py"))).alias("language"))
+    pick = lambda n, *values: F.element_at(F.array(*map(F.lit, values)), (F.col("page_id") % n + 1).cast("int"))
+    named = F.concat(pick(5, "src/test_", "tests/", "lib/", "pytest-1/test_", "a/spec_"), F.col("path"))
+    suffixed = F.concat(F.col("path"), pick(4, ".py", ".TS", ".unknown", "/Makefile"))
+    return p.select("page_id", "path", files.excluded(F.col("path"), config.exclude).alias("excluded"), files.is_test(named).alias("is_test"), files.language(suffixed).alias("language"))
 
 
 def line_window_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +197,9 @@ SQL = {
         round(count(*) FILTER (n >= 3) / count(*), 4) AS blocks_per_file FROM (SELECT len(string_split(text, chr(10))) AS n FROM documents)""",
     "suffix_test_exclude_filter": r"""WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]*/|[?#].*$', '', 'g') AS path FROM pages)
         SELECT page_id, path, path = 'es' OR path LIKE '%7' OR path LIKE 'fr/9%' OR len(list_filter(string_split(path, '/'), lambda s: s = 'es' OR s LIKE '%7')) > 0 AS excluded,
-        CASE WHEN contains('src/test_' || path, '/') THEN true END AS is_test, 'python' AS language FROM p""",
+        page_id % 5 <> 3 AND (page_id % 5 = 1 OR regexp_matches(string_split(q, '/')[-1], 'test_|_test\.|tests\.|spec_|_spec\.') OR len(list_filter(string_split(q, '/')[:-2], lambda s: contains(s, 'test'))) > 0) AS is_test,
+        CASE page_id % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 3 THEN 'make' END AS language
+        FROM (SELECT *, ['src/test_', 'tests/', 'lib/', 'pytest-1/test_', 'a/spec_'][page_id % 5 + 1] || path AS q FROM p)""",
     "line_window_dups": f"WITH {_WINDOWS} SELECT exact_hash, count(*) AS places, count(DISTINCT file) AS n_files, min(file) AS first_file FROM windows GROUP BY exact_hash HAVING count(*) > 1",
     "structural_groups": f"""WITH u AS (SELECT 'page/' || page_id AS file, {norm_sql("regexp_replace(url, '^[a-z]+://[^/]*', '')")} AS norm FROM pages),
         h AS (SELECT file, norm, substring(sha256({masked_sql("norm")}), 1, 16) AS sh FROM u), left_over AS (SELECT * FROM h WHERE norm NOT IN (SELECT norm FROM h GROUP BY norm HAVING count(*) > 1))
