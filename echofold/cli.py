@@ -1,4 +1,4 @@
-"""Command line: scan, compare, check, info, config."""
+"""Command line: scan, compare, diff, quality, check, info, config."""
 
 from __future__ import annotations
 
@@ -40,6 +40,11 @@ def main(argv: list[str] | None = None) -> int:
     comp = sub.add_parser("compare", help="what two folders share")
     comp.add_argument("a")
     comp.add_argument("b")
+    diff = sub.add_parser("diff", help="which groups of folder a are resolved, new or unchanged in b")
+    diff.add_argument("a")
+    diff.add_argument("b")
+    quality = sub.add_parser("quality", help="rollups of a folder as JSON")
+    quality.add_argument("root")
     sub.add_parser("info")
     sub.add_parser("config")
     args = p.parse_args(argv)
@@ -60,6 +65,17 @@ def main(argv: list[str] | None = None) -> int:
         _, summary, decided = compare_corpora(_blocks(spark, args.a, config), _blocks(spark, args.b, config), config)
         print(json.dumps({"decision": decided.first().asDict(), "communities": [r.asDict() for r in summary.limit(20).collect()]}, indent=1))
         return 0
+    if args.command == "diff":
+        from echofold.operators.compare import diff_statistics, scan_diff
+        from echofold.sinks.report import diff_text, snapshot
+
+        print(diff_text(diff_statistics(scan_diff(*(snapshot(analyze(_blocks(spark, r, config), config)) for r in (args.a, args.b))))), end="")
+        return 0
+    if args.command == "quality":
+        from echofold.sinks.report import enhanced
+
+        print(json.dumps(enhanced(analyze(_blocks(spark, args.root, config), config)), indent=1, default=str))
+        return 0
     if args.command == "check":
         gate = analyze(_blocks(spark, args.root, config), config).gate(replace(config, gate_groups=args.max_groups, gate_lines=args.max_lines)).first()
         print(json.dumps(gate.asDict()))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from echofold.operators import metrics
@@ -31,18 +31,21 @@ def load_groups(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(GROUP_SCHEMA + ", fragments array<struct<file string, line_start int, line_end int, function_name string>>").json(path)
 
 
-def collected(a: Analysis, top: int = 30) -> dict:
-    """Totals over everything and the best `top` groups, as plain values."""
+def collected(a: Analysis, top: int = 30, members: int = 50) -> dict:
+    """Totals over everything and the best `top` groups, as plain values: of each the first `members` places, and
+    under `fragments_left_out` how many more there are (`write_groups_json` has all)."""
     rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
     best = a.groups.orderBy("priority").limit(top)
     ids = [r["group_id"] for r in best.select("group_id").collect()]
-    files = a.members.filter(F.col("group_id").isin(ids)).select("group_id", "file", "line_start", "line_end")
+    first = Window.partitionBy("group_id").orderBy("file", "line_start")
+    files = a.members.filter(F.col("group_id").isin(ids)).select("group_id", "file", "line_start", "line_end").withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= members).drop("_n")
     by_group: dict[str, list] = {}
-    for r in rows(files.orderBy("group_id", "file", "line_start").limit(50 * top)):
+    for r in rows(files.orderBy("group_id", "file", "line_start")):
         by_group.setdefault(r.pop("group_id"), []).append(r)
     groups = rows(best)
     for g in groups:
         g["fragments"] = by_group.get(g["group_id"], [])
+        g["fragments_left_out"] = g["occurrences"] - len(g["fragments"])
     return {
         "summary": {r["actionability"]: {"groups": r["n_groups"], "saved_lines": r["saved_lines"]} for r in rows(a.summary())},
         "gate": rows(a.gate())[0],
@@ -108,11 +111,31 @@ def to_todo(data: dict) -> str:
     return "# TODO\n\n" + "".join(f"- [ ] {s['action']} into `{s['new_module']}` ({saved.get(s['group_id'], 0)} lines, {s['risk_level']} risk)\n" for s in data["refactor_suggestions"])
 
 
+def snapshot(a: Analysis) -> DataFrame:
+    """The groups of a run as `scan_diff` compares them."""
+    files = a.members.groupBy(F.col("group_id").alias("g")).agg(F.array_sort(F.collect_set("file")).alias("files"))
+    g = a.groups.join(files, F.col("group_id") == F.col("g"))
+    return g.select("group_id", "duplicate_type", "similarity", "impact", F.col("group_id").alias("hash"), "name", "files")
+
+
 def diff_text(statistics: DataFrame) -> str:
     found = {r["status"]: r["n_groups"] for r in statistics.collect()}
     return "".join(f"{k}: {found.get(k, 0)}\n" for k in ("resolved", "new", "unchanged"))
 
 
+def to_context(data: dict) -> str:
+    """What a reader who is to remove the duplicates needs: per group where to, how, and which places."""
+    advice = {s["group_id"]: s for s in data["refactor_suggestions"]}
+    out = ["# Duplicates to remove, best first"]
+    for g in data["groups"]:
+        s = advice.get(g["group_id"])
+        out += ["", f"{g['priority']}. {g['name'] or g['group_id']}: {g['occurrences']} places, {g['saved_lines']} lines to save"]
+        out += [f"   do: {s['action']} into {s['new_module']} ({s['risk_level']} risk); {s['rationale']}"] if s else []
+        out += [f"   at: {f['file']}:{f['line_start']}-{f['line_end']}" for f in g["fragments"]]
+        out += [f"   and {g['fragments_left_out']} more places"] if g["fragments_left_out"] else []
+    return "\n".join(out) + "\n"
+
+
 def rendered(a: Analysis, fmt: str, top: int = 30) -> str:
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}; one of {', '.join(FORMATS)}")
@@ -121,12 +144,12 @@ def rendered(a: Analysis, fmt: str, top: int = 30) -> str:
     data = collected(a, top)
     if fmt == "json":
         return json.dumps(data, indent=1, default=str)
-    return {"yaml": to_yaml, "toon": to_toon, "markdown": to_markdown, "context": to_toon, "todo": to_todo}[fmt](data)
+    return {"yaml": to_yaml, "toon": to_toon, "markdown": to_markdown, "context": to_context, "todo": to_todo}[fmt](data)
 
 
 def write_reports(a: Analysis, folder: str, formats: tuple[str, ...] = ("json",), top: int = 30) -> list[str]:
     """Files on the driver; `all` stands for every format."""
-    names = {"json": "report.json", "yaml": "report.yaml", "toon": "report.toon", "markdown": "report.md", "enhanced": "report.enhanced.json", "context": "context.toon", "todo": "TODO.md"}
+    names = {"json": "report.json", "yaml": "report.yaml", "toon": "report.toon", "markdown": "report.md", "enhanced": "report.enhanced.json", "context": "context.md", "todo": "TODO.md"}
     Path(folder).mkdir(parents=True, exist_ok=True)
     made = []
     for f in FORMATS if "all" in formats else formats:

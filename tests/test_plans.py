@@ -48,6 +48,16 @@ def test_fuzzy_tier(spark):
     assert g["duplicate_type"] == "fuzzy" and g["occurrences"] == 2 and g["similarity"] >= 0.8
 
 
+def test_reports_say_what_they_leave_out(spark, tmp_path):
+    a = HANDLERS["analyze_project"](spark, project(tmp_path / "p"))
+    (g,) = report.collected(a, members=2)["groups"]
+    assert len(g["fragments"]) == 2 and g["fragments_left_out"] == 1
+    text = report.to_context(report.collected(a, members=2))
+    assert "extract_function into utils/calculate_tax.py" in text and "and 1 more places" in text
+    d = HANDLERS["compare_scans"](spark, report.snapshot(a), report.snapshot(a))
+    assert report.diff_text(d) == "resolved: 0\nnew: 0\nunchanged: 1\n"
+
+
 def test_compare(spark, tmp_path):
     a, b = project(tmp_path / "a", unique=False), project(tmp_path / "b")
     matches, _, decision = HANDLERS["compare_projects"](spark, a, b)
