@@ -83,8 +83,7 @@ def _fuzzy(blocks: DataFrame, config: DedupConfig) -> DataFrame:
 
 
 def _near(blocks: DataFrame, config: DedupConfig) -> DataFrame:
-    b = _keyed(blocks).select("key", T.minhash_features(T.tokens(F.col("norm"))).alias("features"))
-    classes, members = candidates.signature_classes(candidates.signed(b, "key", "features"), "key", "signature")
+    classes, members = candidates.signature_classes(candidates.whole_signed(_keyed(blocks), "key", "norm"), "key", "signature")
     pairs = candidates.minhash_pairs(classes, config.minhash_threshold)
     same = members.filter("key <> class_id").select(F.col("class_id").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("similarity"))
     return _grouped(blocks, grouping.star_clusters(pairs.selectExpr("l AS a", "r AS b", "similarity").unionByName(same)), "near_duplicate")
@@ -97,8 +96,8 @@ def compare_corpora(a: DataFrame, b: DataFrame, config: DedupConfig = DedupConfi
     first = compare.structural_matches(ha, hb)
     columns = ["file_a", "file_b", "function_a", "function_b", "lines_a", "lines_b", "similarity", "similarity_type"]
     first = written(first.select(columns), "structural-matches")
-    features = lambda df: df.filter(F.col("line_count") >= config.minhash_min_lines).select("key", T.minhash_features(T.tokens(F.col("norm"))).alias("features"))
-    (ca, ma), (cb, mb) = (candidates.signature_classes(candidates.signed(features(x), "key", "features"), "key", "signature") for x in (ha, hb))
+    long = lambda df: df.filter(F.col("line_count") >= config.minhash_min_lines)
+    (ca, ma), (cb, mb) = (candidates.signature_classes(candidates.whole_signed(long(x), "key", "norm"), "key", "signature") for x in (ha, hb))
     pairs = candidates.minhash_pairs(ca, min_similarity, cb)
     side = lambda df, m, s: m.join(df, "key").select(F.col("class_id").alias(f"{s}_class"), F.col("file").alias(f"file_{s}"), F.col("function_name").alias(f"function_{s}"), F.struct(F.col("line_start").alias("start"), F.col("line_end").alias("end")).alias(f"lines_{s}"))
     near = pairs.join(side(ha, ma, "a"), F.col("l") == F.col("a_class")).join(side(hb, mb, "b"), F.col("r") == F.col("b_class")).withColumn("similarity_type", F.lit("near_duplicate"))

@@ -241,3 +241,20 @@ def test_config_layers():
     c = DedupConfig.layered({"min_lines": 5}, {"fuzzy": True}, env={"ECHOFOLD_MIN_LINES": "7", "ECHOFOLD_EXCLUDE": "a, b"})
     assert (c.min_lines, c.fuzzy, c.exclude) == (7, True, ("a", "b"))
     assert DedupConfig.from_toml("min_lines = 4\n[tool.echofold]\nmin_lines = 9\nfuzzy = true", env={}) == DedupConfig(min_lines=4, fuzzy=True)
+
+
+def test_minhash_reads_whole_texts(spark):
+    start = " ".join(f"s{i}" for i in range(12))
+    rest = " ".join(f"w{i}" for i in range(400))
+    rows = [("a", f"{start} {rest}"), ("b", f"{start} {rest} more"), ("c", start + " " + " ".join(f"z{i}" for i in range(400))), ("d", f"first {start} {rest}"), ("e", "")]
+    classes, members = candidates.signature_classes(candidates.whole_signed(spark.createDataFrame(rows, "key string, norm string"), "key", "norm"), "key", "signature")
+    assert {(r["key"], r["class_id"]) for r in members.collect()} >= {("a", "a"), ("c", "c")} and members.count() == 4
+    got = {(r["l"], r["r"]) for r in candidates.minhash_pairs(classes, 0.8).collect()}
+    assert {("a", "d")} <= got and not [p for p in got if "c" in p]
+
+
+def test_joins_of_signatures_are_never_broadcast(spark):
+    rows = spark.createDataFrame([(f"{i}", [f"x{i % 7}", "y"]) for i in range(40)], "key string, features array<string>")
+    classes, members = candidates.signature_classes(candidates.signed(rows, "key", "features"), "key", "signature")
+    for df in (candidates.signed(rows, "key", "features"), classes, members, candidates.minhash_pairs(classes, 0.8)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
