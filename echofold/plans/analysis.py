@@ -70,7 +70,7 @@ def _grouped(blocks: DataFrame, stars: DataFrame, kind: str) -> DataFrame:
 def _fuzzy(blocks: DataFrame, config: DedupConfig) -> DataFrame:
     b = _keyed(blocks.filter("function_name IS NOT NULL AND function_name <> ''"))
     suffix = F.lower(F.regexp_extract("file", "\\.([^./]+)$", 1)).alias("suffix")
-    prints = written(T.simhashed(b.select("key", suffix, "line_count", T.trigrams(T.code_tokens(F.col("text"))).alias("features"))), "prints")
+    prints = written(T.simhashed(b.select("key", suffix, "line_count", T.code_tokens(F.col("text")).alias("features")), runs=3), "prints")
     same = prints.groupBy("suffix", "line_count", "fp").agg(F.min("key").alias("l"), F.collect_set("key").alias("rs")).filter(F.size("rs") > 1)
     stars = same.select("l", F.explode("rs").alias("r")).filter("l <> r")
     met = candidates.band_pairs(prints, "fp", 16).select("l", "r").unionByName(stars).distinct()
