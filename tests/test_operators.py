@@ -354,3 +354,64 @@ def test_communities_of_a_large_component(spark):
     found = graph.communities(spark.createDataFrame(edges, "a string, b string, weight double"), 0.3).collect()
     assert len(found) == 900 and all(len({r["community"] for r in found if r["node"] in c}) == 1 for c in map(set, cliques))
     assert time.time() - began < 60
+
+
+def _edited(n, seed=8):
+    """Texts of syllables and their copies with edits: at random, evenly spaced (no long run is left), cut off."""
+    import random
+
+    rng = random.Random(seed)
+    out = {}
+    for i in range(n):
+        t = "".join(rng.choice(("the", "ing ", "er", "that ", "ou", "qu", "zx", "9", "é", ". ")) for _ in range(rng.choice((12, 60, 80, 250))))
+        spaced = lambda k: "".join("#" if j % k == k - 1 else c for j, c in enumerate(t))  # noqa: B023, E731
+        some = "".join(rng.choice(("", c, c, c, c, c, c + "j")) if rng.random() < 0.3 else c for c in t)
+        out.update({f"{i:02}{s}": x for s, x in zip("abcdefg", (t, t, spaced(9), spaced(11), spaced(5), some, t[: len(t) * 7 // 10]), strict=True)})
+    return out
+
+
+def test_joins_of_texts_lose_no_pair(spark):
+    from difflib import SequenceMatcher
+
+    from echofold.operators import near_texts
+
+    rows = _edited(8)
+    classes, members = near_texts.text_classes(spark.createDataFrame([*rows.items(), ("x", None), (None, "y")], "key string, text string"))
+    kept = {r["id"]: r["class_id"] for r in classes.collect()}
+    assert len(kept) == len({*rows.values()}) and members.count() == len(rows) and all(rows[kept[r["id"]]] == rows[r["key"]] for r in members.collect())
+    texts = {k: rows[k] for k in kept.values()}
+
+    def distance(a, b):
+        line = [*range(len(b) + 1)]
+        for i, x in enumerate(a, 1):
+            above, line[0] = line[0], i
+            for j, y in enumerate(b, 1):
+                above, line[j] = line[j], min(above + (x != y), line[j] + 1, line[j - 1] + 1)
+        return line[-1]
+
+    both = [(a, b) for a in texts for b in texts if a < b and a[:2] == b[:2]]
+    edited = {(a, b): 1 - distance(texts[a], texts[b]) / max(len(texts[a]), len(texts[b])) for a, b in both}
+    got = {(kept[r["a"]], kept[r["b"]]): r["similarity"] for r in near_texts.edit_pairs(classes, 0.9).collect()}
+    assert {p: s for p, s in got.items() if p in edited} == {p: s for p, s in edited.items() if s >= 0.9 - 1e-9} and len(got) > 8
+    matched = {(a, b): SequenceMatcher(None, texts[a], texts[b]).ratio() for a, b in both}
+    got = {(kept[r["a"]], kept[r["b"]]): r["similarity"] for r in near_texts.match_pairs(classes, 0.8).collect()}
+    assert {p: s for p, s in got.items() if p in matched} == {p: s for p, s in matched.items() if s >= 0.8} and len(got) > 8
+
+
+def test_edits_of_texts():
+    from echofold.operators.near_texts import edits, grams_suffice
+
+    assert edits("kitten", "sitting", 3) == 3 and edits("kitten", "sitting", 2) is None
+    assert edits("", "ab", 2) == 2 and edits("abc", "abc", 0) == 0 and edits("xabcx", "xacx", 5) == 1
+    assert grams_suffice("abcdefghij", "abcdXfghij", 1, 3) and not grams_suffice("abcdefghij", "jihgfedcba", 1, 3)
+
+
+def test_edit_and_sequence_queries_see_pairs_without_common_bands(spark, tmp_path):
+    from echofold.queries.similar import QUERIES
+
+    base = "\n".join(f"line {i} of {i * 7919 % 1009}" for i in range(12))
+    far = base.replace("\n", " ", 6)  # six lines fewer, at six edits
+    docs = [(1, base, "en", "s"), (2, base, "en", "s"), (3, far, "de", "s"), (4, "a\nb\nc", "en", "s")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in QUERIES["levenshtein_verified_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {("s/1.en", "s/2.en", 1.0), ("s/1.en", "s/3.de", round(1 - 6 / len(base), 6))}
