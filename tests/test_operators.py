@@ -415,3 +415,4 @@ def test_edit_and_sequence_queries_see_pairs_without_common_bands(spark, tmp_pat
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {tuple(r) for r in QUERIES["levenshtein_verified_pairs"](spark, str(tmp_path)).collect()}
     assert got == {("s/1.en", "s/2.en", 1.0), ("s/1.en", "s/3.de", round(1 - 6 / len(base), 6))}
+    assert [(r["group_id"], r["occurrences"]) for r in QUERIES["fuzzy_groups"](spark, str(tmp_path)).collect()] == [("s/1.en", 3)]
